@@ -1,11 +1,524 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, over views that map the driver's tables onto the operators' inputs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import jsonfix
+from ..functions import lexicons as L
+from ..functions import text as T
+from ..operators import agreement, dedup, enrich, incremental, kg, medical, metrics, quality, sampling
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# Terms that the driver's invented prose holds; the medical lists hardly occur in it.
+TERMS = ["rein", "rash", "echo", "thation", "heiten"]
+OPENERS = ["the", "der", "le", "la", "and", "of"]
+KG_TERMS = {"indication": ["the", "der"], "contraindication": ["with", "nicht"], "diseases": ["rash", "echo", "erer"], "symptoms": ["rein", "ingen"], "routes": ["po", "iv", "im", "sc"]}
+DRUGS = ["thation", "nder", "erth", "stand"]
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return _read(spark, d, "documents").select(F.substring(t, 1, 200).alias("question"), F.substr(t, F.lit(201)).alias("answer"), F.col("lang").alias("language"), F.col("source").alias("specialty"), F.col("doc_id").alias("pair_id"))
+
+
+PAIRS = "p as (select substring(coalesce(text, ''), 1, 200) as question, substring(coalesce(text, ''), 201) as answer, lang as language, source as specialty, doc_id as pair_id from documents)"
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """ref: an assistant turn; pred: the next assistant turn of the conversation."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    t = _read(spark, d, "conversations").where("role = 'assistant'")
+    return t.withColumn("pred", F.lead("text").over(w)).where("pred is not null").select("conv_id", "turn", F.col("text").alias("ref"), "pred")
+
+
+TURNS = "t as (select conv_id, turn, text as ref, lead(text) over (partition by conv_id order by turn) as pred from conversations where role = 'assistant' qualify pred is not null)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _any(col: str, terms: list[str]) -> str:
+    return "(" + " or ".join(f"contains(lower({col}), '{t}')" for t in terms) + ")"
+
+
+_Q, _A = STRIP.format("question"), STRIP.format("answer")
+_ASCII = "coalesce(len(regexp_extract_all({0}, '[A-Za-z]'))::double / nullif(len(regexp_extract_all({0}, '\\p{{L}}')), 0), 0)"
+_ARABIC = "coalesce(len(regexp_extract_all({0}, '[\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}]'))::double / nullif(len(regexp_extract_all({0}, '\\p{{L}}')), 0), 0)"
+REASONS = f"""{PAIRS}, s as (select *, {_Q} as q, {_A} as a from p),
+c as (select *, case when length(q) not between 40 and 3000 then 'q_len=' || length(q)
+ when length(a) not between 80 and 5000 then 'a_len=' || length(a)
+ when regexp_matches(a, '(?i)\\bi am an ai\\b|\\bas an ai\\b|\\bi cannot provide\\b|\\bi''?m not a doctor\\b|^\\s*please consult a (licensed )?physician\\.?$') then 'refusal_boilerplate'
+ when not (q like '%?' or q like '%؟' or lower(regexp_extract(q, '^(\\S+)', 1)) in ({", ".join(f"'{x}'" for x in OPENERS)})) then 'not_a_question'
+ when len(list_filter(regexp_split_to_array(a, '[.!?؟]+\\s+'), lambda x: trim(x) <> '')) < 2 and length(a) < 160 then 'answer_too_thin'
+ when lower(language) in ('arabic', 'ar', 'darija') and {_ARABIC.format("q")} < 0.5 and {_ARABIC.format("a")} < 0.5 then 'arabic_ratio_low'
+ when lower(language) not in ('arabic', 'ar', 'darija') and {_ASCII.format("q")} < 0.5 and {_ASCII.format("a")} < 0.5 then 'ascii_ratio_low'
+ when not ({_any("q", TERMS)} or {_any("a", TERMS)}) then 'no_medical_term' else 'ok' end as reason from s)"""
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return quality.validate(pairs(spark, d), lexicon=TERMS, openers=OPENERS)
+
+
+@query(f"with {REASONS} select specialty, reason, count(*)::bigint as n from c where reason <> 'ok' group by all")
+def qc_reason_histogram(spark, d):
+    return quality.rejections(_checked(spark, d))
+
+
+@query(f"""with {REASONS}, k as (select *, row_number() over (partition by lower(substring(question, 1, 100)) order by pair_id) as r from c where reason = 'ok')
+select specialty, count(*)::bigint as input, count_if(c.reason = 'ok')::bigint as kept_after_filter, count_if(k.r = 1)::bigint as kept_after_dedup,
+round(100.0 * count_if(k.r = 1) / greatest(1, count(*)), 6)::double as keep_rate from c left join (select pair_id, r from k) k using (pair_id) group by specialty""")
+def qc_funnel(spark, d):
+    c = _checked(spark, d)
+    kept = dedup.first_wins(c.where("reason = 'ok'"), T.prefix_key("question"), ["pair_id"])
+    return quality.funnel(c, kept).withColumn("keep_rate", F.round("keep_rate", 6))
+
+
+@query()
+def qc_report(spark, d):
+    c = _checked(spark, d)
+    return quality.report(c, dedup.first_wins(c.where("reason = 'ok'"), T.prefix_key("question"), ["pair_id"]))
+
+
+@query(f"with {PAIRS} select pair_id, round({_ASCII.format('answer')}, 6)::double as ascii_ratio, round({_ARABIC.format('answer')}, 6)::double as arabic_ratio from p")
+def script_ratio(spark, d):
+    return pairs(spark, d).select("pair_id", F.round(T.ascii_ratio("answer"), 6).alias("ascii_ratio"), F.round(T.arabic_ratio("answer"), 6).alias("arabic_ratio"))
+
+
+@query(f"with {PAIRS} select pair_id, ({_Q} like '%?' or {_Q} like '%؟' or lower(regexp_extract({_Q}, '^(\\S+)', 1)) in ({', '.join(repr(x) for x in OPENERS)})) as is_question from p")
+def question_shape(spark, d):
+    return pairs(spark, d).select("pair_id", T.looks_like_question("question", OPENERS).alias("is_question"))
+
+
+@query(f"with {PAIRS} select case when lower(language) in ('arabic','ar','darija') then 'arabic' when lower(language) in ('french','fr') then 'french' else 'english' end as bucket, count(*)::bigint as n from p group by 1")
+def language_bucket(spark, d):
+    return pairs(spark, d).groupBy(T.language_bucket("language").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {PAIRS} select pair_id, {_any('answer', TERMS)} as has_term from p")
+def lexicon_flag(spark, d):
+    return pairs(spark, d).select("pair_id", T.contains_any("answer", TERMS).alias("has_term"))
+
+
+@query(f"""with {PAIRS}, x as (select pair_id, question as fr_q, answer as fr_a, case when pair_id % 2 = 0 then 'دواء ' || substring(question, 1, 2) else question end as da_q, 'علاج' as da_a from p)
+select pair_id, trim(fr_q) <> '' and trim(fr_a) <> '' and coalesce({_ARABIC.format('(da_q || da_a)')} >= 0.5, false) as valid from x""")
+def translation_valid(spark, d):
+    x = pairs(spark, d).select("pair_id", F.col("question").alias("fr_q"), F.col("answer").alias("fr_a"), F.when(F.col("pair_id") % 2 == 0, F.concat(F.lit("دواء "), F.substring("question", 1, 2))).otherwise(F.col("question")).alias("da_q"), F.lit("علاج").alias("da_a"))
+    return x.select("pair_id", quality.valid_translation("fr_q", "fr_a", "da_q", "da_a").alias("valid"))
+
+
+@query(f"with {PAIRS} select pair_id, specialty from p qualify row_number() over (partition by lower(substring(question, 1, 100)) order by pair_id) = 1")
+def dedup_prefix_first(spark, d):
+    return dedup.first_wins(pairs(spark, d), T.prefix_key("question"), ["pair_id"]).select("pair_id", "specialty")
+
+
+@query(f"with {PAIRS} select md5(question) as k, pair_id from p qualify row_number() over (partition by md5(question) order by pair_id desc) = 1")
+def upsert_last(spark, d):
+    p = pairs(spark, d).withColumn("k", T.md5_key("question"))
+    return dedup.last_wins(p, F.col("k"), ["pair_id"]).select("k", "pair_id")
+
+
+@query(f"""with {PAIRS}, q as (select pair_id, specialty, question, case when pair_id % 3 = 0 then 1 else 0 end as pr from p)
+select pair_id, specialty from q qualify row_number() over (partition by substring(question, 1, 100) order by pr, pair_id) = 1""")
+def union_precedence(spark, d):
+    p = pairs(spark, d)
+    return dedup.union_first_wins([p.where("pair_id % 3 <> 0"), p.where("pair_id % 3 = 0")], T.prefix_key("question", 100, False), ["pair_id"]).select("pair_id", "specialty")
+
+
+@query(rf"""with {PAIRS}, w as (select pair_id, specialty, regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]+') as w from p where length(answer) < 3000),
+g as (select pair_id, specialty, list_distinct(case when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) end) as s from w),
+e as (select pair_id, specialty, len(s) as n, unnest(s) as x from g),
+o as (select a.pair_id as left_id, b.pair_id as right_id, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.x = b.x and a.specialty = b.specialty and a.pair_id < b.pair_id group by 1, 2)
+select left_id, right_id, round(c / (na + nb - c), 6)::double as jaccard from o where c / (na + nb - c) >= 0.9""")
+def shingle_near_pairs(spark, d):
+    p = pairs(spark, d).where("length(answer) < 3000")
+    return dedup.shingle_pairs(p, "specialty", "pair_id", "answer").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query()
+def greedy_dedup(spark, d):
+    return dedup.greedy(pairs(spark, d).select("specialty", "pair_id", "question"), "specialty", "pair_id", "question").select("specialty", "pair_id")
+
+
+@query(f"with {PAIRS}, f as (select distinct lower(substring(question, 1, 100)) as k from p where pair_id % 4 = 0) select pair_id from p where question <> '' and lower(substring(question, 1, 100)) not in (select k from f)")
+def resume_anti_prefix(spark, d):
+    p = pairs(spark, d)
+    return incremental.remaining(p, p.where("pair_id % 4 = 0"), T.prefix_key("question"), T.prefix_key("question")).select("pair_id")
+
+
+@query(f"with {PAIRS}, f as (select md5(question) as k from p where pair_id % 4 = 1) select pair_id from p where md5(question) not in (select k from f)")
+def resume_anti_md5(spark, d):
+    p = pairs(spark, d)
+    return incremental.remaining(p, p.where("pair_id % 4 = 1"), T.md5_key("question"), T.md5_key("question")).select("pair_id")
+
+
+@query(f"with {PAIRS} select pair_id from p where not (pair_id % 2 = 0 and answer <> '' and question <> '')")
+def resume_conditional(spark, d):
+    p = pairs(spark, d)
+    key = F.col("pair_id").cast("string")
+    return incremental.remaining(p, p.where("pair_id % 2 = 0"), key, key, (F.col("answer") != "") & (F.col("question") != "")).select("pair_id")
+
+
+@query(f"with {PAIRS} select pair_id, case when pair_id % 3 = 0 then specialty when pair_id % 5 = 0 then language else null end as fr from p")
+def carry_forward(spark, d):
+    p = pairs(spark, d)
+    new = p.select("pair_id", F.when(F.col("pair_id") % 3 == 0, F.col("specialty")).alias("fr"))
+    old = p.where("pair_id % 5 = 0").select("pair_id", F.col("language").alias("fr"))
+    return incremental.carry_forward(new, old, "pair_id", ["fr"])
+
+
+@query(f"with {PAIRS} select pair_id, case when pair_id % 3 = 0 then 'new' else 'old' end as state from p")
+def upsert_rows(spark, d):
+    p = pairs(spark, d).select("pair_id")
+    return incremental.upsert(p.withColumn("state", F.lit("old")), p.where("pair_id % 3 = 0").withColumn("state", F.lit("new")), "pair_id", "pair_id").select("pair_id", "state")
+
+
+@query(f"with {PAIRS}, o as (select specialty, count(*) as n from p where pair_id % 3 = 0 group by 1) select specialty, count(*)::bigint as n_in, coalesce(any_value(o.n), 0)::bigint as n_out, (count(*) - coalesce(any_value(o.n), 0))::bigint as pending from p left join o using (specialty) group by specialty")
+def status_backlog(spark, d):
+    p = pairs(spark, d)
+    return incremental.backlog(p, p.where("pair_id % 3 = 0"), "specialty")
+
+
+@query(f"with {PAIRS}, h as (select specialty, count(*) as n from p group by 1), x as (select specialty, n, case when specialty = 'src0' then 100 else 1500 end as target from h) select specialty, n::bigint as n, target::bigint as target, (target - n)::bigint as need, least(200, ceil((target - n) / 10.0))::bigint as batches from x where n < target")
+def target_deficit(spark, d):
+    plan = spark.createDataFrame([("src0", 100)], "specialty string, target int")
+    return incremental.deficit(pairs(spark, d), plan, "specialty").withColumn("target", F.col("target").cast("long"))
+
+
+@query(f"with {PAIRS} select specialty, pair_id, ((row_number() over (partition by specialty order by pair_id) - 1) // 5)::bigint as batch from p")
+def batch_index(spark, d):
+    return incremental.batches(pairs(spark, d), "specialty", "pair_id", 5).select("specialty", "pair_id", "batch")
+
+
+@query(f"with {PAIRS} select specialty, pair_id from p qualify row_number() over (partition by specialty order by pair_id) <= 3")
+def head_n(spark, d):
+    return incremental.head(pairs(spark, d), "specialty", "pair_id", 3).select("specialty", "pair_id")
+
+
+@query(f"with {PAIRS}, x as (select *, row_number() over (partition by specialty order by pair_id) as r from p) select specialty, pair_id from x where r > case when specialty = 'src1' then 7 else 0 end")
+def positional_resume(spark, d):
+    done = spark.createDataFrame([("src1", 7)], "specialty string, n_done int")
+    return incremental.skip(pairs(spark, d), "specialty", "pair_id", done).select("specialty", "pair_id")
+
+
+@query(f"""with {PAIRS}, x as (select specialty, pair_id, language = 'fr' as real from p),
+y as (select *, count_if(real) over (partition by specialty) as r, count_if(not real) over (partition by specialty) as s,
+ row_number() over (partition by specialty, real order by md5('42|' || pair_id), pair_id) as k from x),
+z as (select *, least(25 - least(12, r), s) as ns from y)
+select specialty, pair_id from z where k <= case when real then (case when 25 - least(12, r) > s then least(25 - ns, r) else least(12, r) end) else ns end""")
+def sample_5050(spark, d):
+    return sampling.half_real(pairs(spark, d), "specialty", F.col("language") == "fr", "pair_id", 25).select("specialty", "pair_id")
+
+
+@query(f"""with {PAIRS}, c as (select * from p qualify row_number() over (partition by specialty order by md5('42|' || pair_id), pair_id) <= 40),
+n as (select count(*) as total from c),
+k as (select c.*, total, count(*) over (partition by specialty, language) as m, row_number() over (partition by specialty, language order by md5('42|' || pair_id), pair_id) as r from c, n),
+t as (select * from k where total <= 300 or r <= greatest(1, round_even(m * (300 / total), 0)))
+select specialty, language, pair_id from t qualify any_value(total) over () <= 300 or row_number() over (order by md5('43|' || pair_id), pair_id) <= 300""")
+def sample_strata(spark, d):
+    return sampling.strata(pairs(spark, d), "specialty", ["specialty", "language"], "pair_id", 40, 300).select("specialty", "language", "pair_id")
+
+
+@query(f"with {PAIRS}, r as (select pair_id, row_number() over (order by md5('42|' || pair_id), pair_id) as r, greatest(1, count(*) over () // 10) as k from p) select pair_id, case when r <= k then 'test' when r <= 2 * k then 'validation' else 'train' end as split from r")
+def split_rank(spark, d):
+    p = pairs(spark, d).select("pair_id")
+    return sampling.three_way(p, "pair_id", p.count())
+
+
+@query(f"with {PAIRS}, r as (select pair_id, row_number() over (order by md5('42|' || pair_id), pair_id) as r, least(1000, greatest(50, count(*) over () // 50)) as k from p) select pair_id, r <= k as held_out from r")
+def hold_out(spark, d):
+    p = pairs(spark, d).select("pair_id")
+    return sampling.hold_out(p, "pair_id", p.count())
+
+
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    x = _read(spark, d, "labels").join(_read(spark, d, "documents"), "doc_id")
+    votes = F.array(*(F.struct(F.lit(r).alias("rater"), F.lit(c).alias("criterion"), v.cast("int").alias("value")) for r, c, v in [
+        ("a", "c1", F.col("quality")), ("b", "c1", 1 - F.col("toxic")), ("c", "c1", (F.col("n_chars") > 1500).cast("int")),
+        ("a", "c2", F.col("toxic")), ("b", "c2", (F.col("lang") == "en").cast("int")), ("c", "c2", F.when(F.col("doc_id") % 7 != 0, F.col("quality"))),
+    ]))
+    return x.select(F.col("doc_id").alias("pair_id"), F.inline(votes))
+
+
+RATINGS = """x as (select * from labels join documents using (doc_id)), r as (
+ select doc_id as pair_id, 'a' as rater, 'c1' as criterion, quality as value from x union all select doc_id, 'b', 'c1', 1 - toxic from x
+ union all select doc_id, 'c', 'c1', (n_chars > 1500)::int from x union all select doc_id, 'a', 'c2', toxic from x
+ union all select doc_id, 'b', 'c2', (lang = 'en')::int from x union all select doc_id, 'c', 'c2', case when doc_id % 7 <> 0 then quality end from x)"""
+KAPPA = f"""{RATINGS}, k as (select a.criterion, a.rater as rater_a, b.rater as rater_b, count(*) as n, avg((a.value = b.value)::int) as po, avg(a.value) as pa, avg(b.value) as pb
+ from r a join r b on a.pair_id = b.pair_id and a.criterion = b.criterion and a.rater < b.rater and a.value is not null and b.value is not null group by 1, 2, 3 having count(*) >= 2),
+kk as (select criterion, rater_a, rater_b, n::bigint as n, case when pa * pb + (1 - pa) * (1 - pb) = 1 then (case when po = 1 then 1 else 0 end) else (po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) end as kappa from k)"""
+
+
+@query(f"with {KAPPA} select criterion, rater_a, rater_b, n, round(kappa, 6)::double as kappa from kk")
+def kappa_pairwise(spark, d):
+    return agreement.pairwise(ratings(spark, d)).withColumn("kappa", F.round("kappa", 6))
+
+
+@query(f"with {KAPPA} select criterion, round(avg(round(kappa, 3)), 3)::double as mean_kappa, round(avg(round(kappa, 3)), 3) >= 0.65 as passed from kk group by 1")
+def kappa_summary(spark, d):
+    return agreement.summary(agreement.pairwise(ratings(spark, d)))
+
+
+@query("""select source as specialty, count(*)::bigint as n, count_if(doc_id % 2 = 0)::bigint as n_real, count_if(doc_id % 2 = 1)::bigint as n_made, count_if(quality = 1)::bigint as c1_pass,
+count_if(toxic = 0)::bigint as c2_pass, count_if(doc_id % 5 <> 0 and lang = 'en')::bigint as c3_pass, count_if(quality = 0 or toxic = 1 or (doc_id % 5 <> 0 and lang <> 'en'))::bigint as n_rejected from labels join documents using (doc_id) group by 1""")
+def acceptance(spark, d):
+    x = _read(spark, d, "labels").join(_read(spark, d, "documents"), "doc_id")
+    items = x.select(F.col("source").alias("specialty"), F.when(F.col("doc_id") % 2 == 0, "real_x").otherwise("made").alias("source"), F.col("quality").alias("c1"), (1 - F.col("toxic")).alias("c2"), F.when(F.col("doc_id") % 5 != 0, (F.col("lang") == "en").cast("int")).alias("c3"))
+    return agreement.acceptance(items)
+
+
+KG = "b as (select 'drug:' || source as source, lower(coalesce(text, '')) as t from documents where length(text) < 2000)"
+
+
+def _kg_sql() -> str:
+    parts = []
+    for rel, kind, terms, gate in [("has_route", "route", "routes", None), ("indication", "symptom", "symptoms", "indication"), ("treats", "disease", "diseases", "indication"), ("contraindication", "disease", "diseases", "contraindication")]:
+        when = f" and {_any('t', KG_TERMS[gate])}" if gate else ""
+        parts += [f"select source, '{kind}:{x}' as target, '{rel}' as relation from b where contains(t, '{x}'){when}" for x in KG_TERMS[terms]]
+    return f"with {KG}, e as ({' union all '.join(parts)})"
+
+
+def _kg(spark: SparkSession, d: str) -> DataFrame:
+    b = _read(spark, d, "documents").where("length(text) < 2000").select(F.col("source").alias("drug"), F.col("text").alias("block"))
+    return kg.emissions(b, lexicons=KG_TERMS)
+
+
+@query(f"{_kg_sql()} select relation, count(*)::bigint as emitted, count(distinct source || target)::bigint as distinct_edges from e group by 1")
+def kg_edges(spark, d):
+    return kg.edge_counts(_kg(spark, d).where("relation <> 'has_dosage'"))
+
+
+@query(f"{_kg_sql()} select distinct source, target, relation as key, relation from e")
+def kg_edge_set(spark, d):
+    return kg.edges(_kg(spark, d).where("relation <> 'has_dosage'"))
+
+
+@query("select user_id, event_id, ts, coalesce(lead(ts) over (partition by user_id order by ts, event_id), timestamp '2100-01-01') as stop from events")
+def segment_lead(spark, d):
+    e = _read(spark, d, "events").withColumn("end_of_time", F.lit("2100-01-01").cast(dict(_read(spark, d, "events").dtypes)["ts"]))
+    e = e.withColumn("k", F.struct("ts", "event_id")).withColumn("last", F.struct(F.col("end_of_time").alias("ts"), F.lit(0).cast("long").alias("event_id")))
+    return kg.segments_by_position(e, "user_id", "k", "last").select("user_id", "event_id", "ts", F.col("stop.ts").alias("stop"))
+
+
+@query(rf"""with t as (select doc_id, lower(text) as t from documents) select doc_id, list_sort(list_intersect(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}_-]+')), {DRUGS!r}))::varchar[] as drugs,
+list_sort(list_filter([case when contains(t, 'rash') or contains(t, 'éruption') then 'rash' end, case when contains(t, 'erer') then 'itching' end], lambda x: x is not null)) as symptoms from t""")
+def entities(spark, d):
+    docs = _read(spark, d, "documents")
+    e = medical.entities("text", DRUGS, {"rash": ["rash", "éruption"], "itching": ["erer"]}, {})
+    return docs.withColumn("e", e).select("doc_id", "e.drugs", "e.symptoms")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    sym = {"rash": ["rash"], "itching": ["erer"], "fever": ["rein"], "pain": ["ingen"]}
+    t = turns(spark, d).withColumns({"p": medical.entities("pred", DRUGS, sym, {"echo": ["echo"], "mri": ["tion"]}), "r": medical.entities("ref", DRUGS, sym, {"echo": ["echo"], "mri": ["tion"]})})
+    return t.withColumns({"rec": medical.recall("p", "r"), "hal": medical.hallucination("p", "r")})
+
+
+def _groups_sql(col: str) -> str:
+    one = lambda terms: f"list_sort(list_filter([{', '.join(f'case when contains(lower({col}), {t!r}) then {n!r} end' for n, t in terms)}], lambda x: x is not null))"
+    drugs = rf"list_intersect(list_distinct(regexp_extract_all(lower({col}), '[\p{{L}}\p{{N}}_-]+')), {DRUGS!r})"
+    return f"{drugs} as {col}_d, {one([('rash', 'rash'), ('itching', 'erer'), ('fever', 'rein'), ('pain', 'ingen')])} as {col}_s, {one([('echo', 'echo'), ('mri', 'tion')])} as {col}_e"
+
+
+_REC = lambda k: f"len(list_intersect(pred_{k}, ref_{k}))::double / nullif(len(ref_{k}), 0)"
+_HAL = lambda k: f"coalesce((len(pred_{k}) - len(list_intersect(pred_{k}, ref_{k})))::double / nullif(len(pred_{k}), 0), 0)"
+SCORED = f"""{TURNS}, e as (select conv_id, turn, {_groups_sql('pred')}, {_groups_sql('ref')} from t),
+s as (select conv_id, turn, coalesce(list_avg(list_filter([{', '.join(_REC(k) for k in 'dse')}], lambda x: x is not null)), 0) as recall, ({' + '.join(_HAL(k) for k in 'dse')}) / 4 as hallucination from e)"""
+
+
+@query(f"with {SCORED} select conv_id, turn, round(recall, 6)::double as recall, round(hallucination, 6)::double as hallucination from s")
+def recall_hallu(spark, d):
+    return _scored(spark, d).select("conv_id", "turn", F.round("rec.macro", 6).alias("recall"), F.round("hal.macro", 6).alias("hallucination"))
+
+
+@query(f"""with {SCORED}, g as (select 'l' || conv_id % 3 as lang, 'p' || conv_id % 40 as pathology, recall, hallucination, (turn > 2)::int as hit from s)
+select case when grouping(lang) = 1 and grouping(pathology) = 1 then 'all' when grouping(lang) = 0 then 'lang' else 'pathology' end as level, coalesce(lang, pathology, 'all') as value, count(*)::bigint as n,
+round(avg(recall), 6)::double as recall, round(avg(hallucination), 6)::double as hallucination, round(avg(hit), 6)::double as hit from g group by grouping sets ((), (lang), (pathology)) having grouping(pathology) = 1 or count(*) >= 3""")
+def medical_grouping_sets(spark, d):
+    s = _scored(spark, d).select(F.concat(F.lit("l"), F.col("conv_id") % 3).alias("lang"), F.concat(F.lit("p"), F.col("conv_id") % 40).alias("pathology"), F.col("rec.macro").alias("recall"), F.col("hal.macro").alias("hallucination"), (F.col("turn") > 2).cast("int").alias("hit"))
+    out = medical.breakdown(s)
+    return out.withColumns({c: F.round(c, 6) for c in ("recall", "hallucination", "hit")})
+
+
+VOTES = {"one": ["rash", "rein"], "two": ["echo", "erer"], "three": ["heit", "tion", "ment"]}
+
+
+@query("with v as (select doc_id, lower(text) as t from documents), n as (select doc_id, " + ", ".join(" + ".join(f"contains(t, '{x}')::int" for x in ts) + f" as {k}" for k, ts in VOTES.items()) + " from v) select doc_id, case when greatest(one, two, three) = 0 then 'other' when one = greatest(one, two, three) then 'one' when two = greatest(one, two, three) then 'two' else 'three' end as pathology from n")
+def pathology_vote(spark, d):
+    return _read(spark, d, "documents").select("doc_id", medical.pathology("text", VOTES).alias("pathology"))
+
+
+@query(rf"""with x as (select doc_id, text || case when doc_id % 3 = 0 then ' see 10.1234/ab-c' || doc_id else '' end || case when doc_id % 4 = 0 then ' PMID: 123456' else '' end || case when doc_id % 5 = 0 then ' (J45.1)' else '' end as t from documents)
+select doc_id, len(regexp_extract_all(t, '(?i)\b10\.\d{{4,9}}/[-._;()/:A-Z0-9]+\b'))::bigint as n_doi, len(regexp_extract_all(t, '(?i)\b(?:pmid[:\s]*|pubmed[:\s]*)(\d{{6,9}})\b'))::bigint as n_pmid,
+len(regexp_extract_all(t, '\b[A-Z]\d{{2}}(?:\.\d{{1,3}})?\b'))::bigint as n_icd10, n_doi + n_pmid + n_icd10 > 0 as any_citation from x""")
+def citations(spark, d):
+    k = lambda n, s: F.when(F.col("doc_id") % n == 0, s).otherwise("")
+    t = F.concat("text", k(3, F.concat(F.lit(" see 10.1234/ab-c"), F.col("doc_id"))), k(4, F.lit(" PMID: 123456")), k(5, F.lit(" (J45.1)")))
+    return _read(spark, d, "documents").select("doc_id", *T.citations(t))
+
+
+_SET = r"list_distinct(list_filter(regexp_split_to_array(trim(lower({})), '\s+'), lambda x: x <> ''))"
+
+
+@query(f"""with {TURNS}, k as (select conv_id, turn, {_SET.format('pred')} as p, {_SET.format('ref')} as r from t), m as (select *, len(list_intersect(p, r)) as b from k)
+select conv_id, turn, round(coalesce(b / nullif(len(p), 0), 0), 6)::double as precision, round(coalesce(b / nullif(len(r), 0), 0), 6)::double as recall,
+round(coalesce(2 * (b / nullif(len(p), 0)) * (b / nullif(len(r), 0)) / nullif(b / nullif(len(p), 0) + b / nullif(len(r), 0), 0), 0), 6)::double as f1 from m""")
+def token_prf(spark, d):
+    t = turns(spark, d).withColumn("s", metrics.token_prf("pred", "ref"))
+    return t.select("conv_id", "turn", *(F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query()
+def bleu_rouge(spark, d):
+    return metrics.overlap_scores(turns(spark, d), "pred", "ref").drop("pred", "ref")
+
+
+@query("""with e as (select a.vec_id, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+c as (select vec_id, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)) + 1e-9) as c from e)
+select round(avg(c), 6)::double as sb_cs, round(avg(least(greatest(c, 0), 1)), 6)::double as nass, count(*)::bigint as n from c""")
+def cosine_nass(spark, d):
+    e = _read(spark, d, "embeddings").select("vec_id", "embedding")
+    c = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select(metrics.cosine("embedding", "other").alias("c"))
+    return c.agg(F.round(F.avg("c"), 6).alias("sb_cs"), F.round(F.avg(metrics.clipped(F.col("c"))), 6).alias("nass"), F.count("*").alias("n"))
+
+
+_D = lambda col: rf"list_intersect(list_distinct(regexp_extract_all(lower({col}), '[\p{{L}}\p{{N}}_-]+')), {DRUGS!r})"
+
+
+@query(f"""with {TURNS}, x as (select conv_id, turn, (turn % 2)::double as form, 0.5 as content, least(0.3, 0.1 * (len({_D('pred')}) - len(list_intersect({_D('pred')}, {_D('ref')})))) as cost from t)
+select conv_id, turn, round(cost, 6)::double as r_hallu, round(0.2 * form + 0.8 * content - cost, 6)::double as r_total from x""")
+def reward(spark, d):
+    cost = metrics.penalty(medical.drugs_in("pred", DRUGS), medical.drugs_in("ref", DRUGS))
+    t = turns(spark, d).withColumn("r", metrics.reward((F.col("turn") % 2).cast("double"), F.lit(0.5), cost))
+    return t.select("conv_id", "turn", F.round("r.r_hallu", 6).alias("r_hallu"), F.round("r.r_total", 6).alias("r_total"))
+
+
+@query("select event_id, round((value - avg(value) over w) / (coalesce(stddev_samp(value) over w, 0) + 1e-6), 4)::double as advantage from events window w as (partition by user_id)")
+def advantage(spark, d):
+    return _read(spark, d, "events").select("event_id", F.round(metrics.advantage("value", "user_id"), 4).alias("advantage"))
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events")
+    return e.select((F.col("event_id") % 500).alias("request_id"), (F.col("event_id") % 2 + 1).alias("pass"), F.col("event_id").alias("priority"), F.col("event_type").alias("provider"), F.col("props").alias("content"), (F.col("value") > 20).alias("ok"))
+
+
+ATTEMPTS = "a as (select event_id % 500 as request_id, event_id % 2 + 1 as pass, event_id as priority, event_type as provider, props as content, value > 20 as ok from events)"
+
+
+@query(f"with {ATTEMPTS} select request_id, content, provider from a where ok qualify row_number() over (partition by request_id order by pass, priority) = 1")
+def failover_first_ok(spark, d):
+    return enrich.first_success(_attempts(spark, d))
+
+
+@query(f"with {ATTEMPTS} select provider, count(*)::bigint as calls, count_if(ok)::bigint as successes, count_if(not ok)::bigint as failures from a group by 1")
+def router_stats(spark, d):
+    return enrich.router_stats(_attempts(spark, d))
+
+
+@query("select event_id, round(least(90, case event_id % 4 when 0 then 45 when 1 then 15 when 2 then 3600 else 2 end * pow(1.3, event_id % 7)), 6)::double as wait from events")
+def backoff(spark, d):
+    e = F.get(F.array(*(F.lit(x) for x in ("cold", "429", "auth", "parse"))), (F.col("event_id") % 4).cast("int"))
+    return _read(spark, d, "events").select("event_id", F.round(T.backoff(e, F.col("event_id") % 7 + 1), 6).alias("wait"))
+
+
+@query("""with m as (select event_type as model, 'm' || user_id % 5 as metric, avg(value) as value from events group by all) select model, metric, round(value, 6)::double as value,
+round(value - max(case when model = 'click' then value end) over (partition by metric), 6)::double as delta from m""")
+def model_delta(spark, d):
+    m = _read(spark, d, "events").groupBy(F.col("event_type").alias("model"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("metric")).agg(F.avg("value").alias("value"))
+    return metrics.against_baseline(m, "click").withColumns({"value": F.round("value", 6), "delta": F.round("delta", 6)})
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as k from documents")
+def normalize(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.md5(T.normalize("text")).alias("k"))
+
+
+@query(f"with s as (select doc_id, replace(replace({STRIP.format('text')}, chr(10), ' '), chr(13), ' ') as s from documents) select doc_id, substring(s, 1, 400) || case when length(s) > 400 then '...' else '' end as short from s")
+def short(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.shorten("text").alias("short"))
+
+
+@query(f"with {PAIRS} select pair_id, md5(question) as a, md5(question || '|' || answer || '|' || specialty) as b, substring(md5(question || specialty), 1, 12) as c from p")
+def md5_ids(spark, d):
+    return pairs(spark, d).select("pair_id", T.md5_key("question").alias("a"), T.md5_key("question", "answer", "specialty", sep="|").alias("b"), T.md5_key("question", "specialty", n=12).alias("c"))
+
+
+@query(r"""with x as (select doc_id, text || ' take ' || doc_id || ' mg/jour or 2,5 ml' as t from documents)
+select doc_id, regexp_extract_all(t, '(?i)\b(\d+(?:[.,]\d+)?)\s?(mg|g|µg|mcg|ug|UI|IU|ml|mL|%|cp|comprim[ée]s?|gouttes?|gél(?:ule|ules)?|sachets?|amp(?:\.|oule)s?)(?:\s?/\s?(?:j|jour|24\s?h|kg|m2|prise))?') as dosages from x""")
+def dosage_extract(spark, d):
+    t = F.concat("text", F.lit(" take "), "doc_id", F.lit(" mg/jour or 2,5 ml"))
+    return _read(spark, d, "documents").select("doc_id", T.dosages(t).alias("dosages"))
+
+
+@query(f"""with s as (select source as specialty, {_ARABIC.format('text')} as q, {_ASCII.format('text')} as a, case when doc_id % 3 = 0 then null else n_chars::double end as qp, n_chars / 2.0 as ap from documents)
+select specialty, count(*)::bigint as n, count_if(q < 0.35 or a < 0.35 or coalesce(qp > 800, false) or ap > 800)::bigint as flagged, round(avg(round(q, 3)), 6)::double as q_ratio, round(avg(round(a, 3)), 6)::double as a_ratio, median(qp)::double as q_ppl, median(ap)::double as a_ppl from s group by 1""")
+def median_ratio(spark, d):
+    s = _read(spark, d, "documents").select(F.col("source").alias("specialty"), T.arabic_ratio("text").alias("q_arabic_ratio"), T.ascii_ratio("text").alias("a_arabic_ratio"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars").cast("double")).alias("q_ppl"), (F.col("n_chars") / 2.0).alias("a_ppl"))
+    out = quality.dialect_summary(s)
+    return out.withColumns({"q_ratio": F.round("q_ratio", 6), "a_ratio": F.round("a_ratio", 6)})
+
+
+@query("with a as (select '<think>x</think><answer> ' || substring(text, 1, 9) || ' </answer>' as t, doc_id from documents where doc_id % 2 = 0 union all select substring(text, 1, 9), doc_id from documents where doc_id % 2 = 1) select doc_id, " + STRIP.format("case when doc_id % 2 = 0 then regexp_extract(t, '(?s)<answer>(.*?)</answer>', 1) else t end") + " as answer, case when doc_id % 2 = 0 then 1.0 else 0.0 end::double as form from a")
+def answer_format(spark, d):
+    x = F.substring("text", 1, 9)
+    t = _read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>x</think><answer> "), x, F.lit(" </answer>"))).otherwise(x).alias("t"))
+    return t.select("doc_id", T.extract_answer("t").alias("answer"), T.format_reward("t").alias("form"))
+
+
+@query()
+def chunker(spark, d):
+    docs = _read(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(T.chunks("text", 350, hard=True)).alias("pos", "chunk"))
+
+
+@query()
+def diagnosis_hits(spark, d):
+    t = turns(spark, d)
+    return t.select("conv_id", "turn", medical.candidates("pred").alias("candidates"), medical.hit_at_k("pred", F.substring("ref", 1, 10)).alias("hit"))
+
+
+@query()
+def json_repair(spark, d):
+    raw = F.concat(F.lit('```json\n{"think": "'), F.regexp_replace(F.substring("text", 1, 80), r'["\\\n]', " "), F.when(F.col("doc_id") % 3 == 0, '",}\n```').when(F.col("doc_id") % 3 == 1, '"}').otherwise(""))
+    x = _read(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    return x.select("doc_id", jsonfix.repaired("raw").alias("fixed"), jsonfix.think("raw").alias("t")).select("doc_id", "fixed", "t.think", "t.reason")
+
+
+@query()
+def enrich_attempts(spark, d):
+    backends = [lambda: enrich.Echo("first", "fr:", fail="the"), lambda: enrich.Echo("second", "fr2:")]
+    return enrich.first_success(enrich.attempts(pairs(spark, d), "pair_id", "question", backends))
+
+
+@query(f"""with {PAIRS}, r as (select pair_id // 5 as batch, pair_id % 5 as id, question as fr from p where pair_id % 3 <> 0) select pair_id, coalesce(fr, '') as fr from p left join r on pair_id // 5 = batch and pair_id % 5 = id""")
+def response_match(spark, d):
+    p = pairs(spark, d).select("pair_id", "question", F.floor(F.col("pair_id") / 5).alias("batch"), (F.col("pair_id") % 5).alias("id"))
+    return incremental.match_by_id(p.drop("question"), p.where("pair_id % 3 <> 0").select("batch", "id", F.col("question").alias("fr")), ["batch", "id"], ["fr"]).select("pair_id", "fr")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

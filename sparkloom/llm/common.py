@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -47,6 +48,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df with columns under names that clash with nothing, the new name of each, and what gives the old ones back."""
+    names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (UTF-8 bytes), remembered up to a bound."""
 

@@ -462,4 +462,4 @@ def keep_first(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     seen = near_duplicates(docs, rule, id_col, text_col)
     drop: Column = F.col("component_id") != F.col(id_col)
     gone = seen.where(drop).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

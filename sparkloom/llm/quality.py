@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 # Frequent function words of the languages served
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "was", "be", "with", "as", "by", "this", "are", "at", "from"],
@@ -118,8 +120,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their own columns (none of which may be called like a measure)."""
-    return measures(docs, id_col, text_col, keep=docs.columns).where("kept").select(*docs.columns)
+    """The rows that pass, with their own columns."""
+    own, names, back = set_aside(docs)
+    return measures(own, names[id_col], names[text_col], keep=own.columns).where("kept").select(*back)
 
 
 def oracle_sql() -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import set_aside, small_batches, written
 
 #: Labelled rows that the model is fitted on (those of smallest hash), the bound of all that the driver gets.
 SAMPLE_ROWS = 20_000
@@ -153,10 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = Counter(round(s, 1) for h in clean["hits"] for s in h)
     rest = max(total - sum(share.values()), 1)
     p = {s: (k + 0.0) / (total + 1) for s, k in share.items()}
-    p[TOP] = p.get(TOP, 0.0) + 1 / (total + 1)  # a hit that clean text may yet hold
+    top = max(model.scores.values(), default=TOP)
+    p[top] = p.get(top, 0.0) + 1 / (total + 1)  # a hit that clean text may yet hold
     p[-DRIFT] = rest / (total + 1)
     model.rate = _rate(p)
-    segs = np.sort(np.array([s for h in clean["segs"] for s in h] or [TOP]))
+    segs = np.sort(np.array([s for h in clean["segs"] for s in h] or [top]))
     mid = float(segs[len(segs) // 2])
     model.scale = float((segs >= mid).sum()) / (total * math.exp(-model.rate * mid))
     evidence = [sum(max(0.0, -math.log(max(model.scale * n * math.exp(-model.rate * s), 1e-300))) for s in h) for n, h in zip(fit["n"], fit["segs"], strict=True)]
@@ -206,3 +207,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     return docs.select(*cols).mapInArrow(work, ", ".join(fields[: len(kept) + with_text]) + ", score double, predicted int, segments array<struct<first: bigint, last: bigint, score: double, expected: double>>")
+
+
+def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that aren't predicted toxic, with their own columns."""
+    own, names, back = set_aside(docs)
+    return score(own, model, names[id_col], names[text_col], keep=own.columns).where("predicted = 0").select(*back)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +58,9 @@ def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
 class WordHashes(dict):
     """64-bit hashes of words (UTF-8 bytes), remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.LIMIT:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -100,8 +99,6 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 
 def set_print(hashes: np.ndarray) -> int:
     """A signed 64-bit print of a sorted set of hashes and its size."""
-    import xxhash
-
     h = xxhash.xxh64_intdigest(hashes.tobytes(), seed=len(hashes))
     return h - (1 << 64) if h >= 1 << 63 else h
 

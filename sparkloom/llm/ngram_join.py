@@ -172,12 +172,12 @@ def _prints(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFram
 
 
 def _index(docs: DataFrame, rule: Rule, frequent, text_col: str) -> DataFrame:  # noqa: ANN001
-    """hot false: key, node, n, place of each rare shingle in a prefix. hot true: key of frequent shingles and node; or, key null, two nodes that shared one in this task."""
+    """kind 0: key, node, n, place of each rare shingle in a prefix. kind 1: key of frequent shingles and node. kind 2: two nodes (key, node) that shared such a key in this task, which posts each key once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, held = np.frombuffer(frequent.value, bool), set(), {}
         for b in batches:
-            keys, nodes, sizes, places, hot = [], [], [], [], []
+            keys, nodes, sizes, places, kinds = [], [], [], [], []
             for text in b.column(0).to_pylist():
                 h = shingle_hashes(text, rule.words)
                 n = len(h)
@@ -192,7 +192,7 @@ def _index(docs: DataFrame, rule: Rule, frequent, text_col: str) -> DataFrame:
                 nodes.append(np.full(len(take), node))
                 sizes.append(np.full(len(take), n))
                 places.append(np.arange(len(take)))
-                hot.append(np.zeros(len(take), bool))
+                kinds.append(np.zeros(len(take), np.int64))
                 if len(rare) >= p:
                     continue
                 found, links = [], set()
@@ -218,14 +218,15 @@ def _index(docs: DataFrame, rule: Rule, frequent, text_col: str) -> DataFrame:
                             links.add(other)
                 keys += [np.array(found, np.int64), np.array(sorted(links), np.int64)]
                 nodes += [np.full(len(found) + len(links), node)]
-                sizes += [np.full(len(found), 0), np.full(len(links), -1)]
+                sizes += [np.zeros(len(found) + len(links), np.int64)]
                 places += [np.zeros(len(found) + len(links), np.int64)]
-                hot += [np.ones(len(found) + len(links), bool)]
+                kinds += [np.full(len(found), 1), np.full(len(links), 2)]
             if keys:
-                cols = [np.concatenate(x) for x in (keys, nodes, sizes, places, hot)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].astype(np.int64), pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_())], names=["key", "node", "n", "place", "hot"])
+                cols = [np.concatenate(x) for x in (keys, kinds, nodes, sizes, places)]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(cols, types, strict=True)], names=["key", "kind", "node", "n", "place"])
 
-    return docs.select(text_col).mapInArrow(work, "key bigint, node bigint, n int, place int, hot boolean")
+    return docs.select(text_col).mapInArrow(work, "key bigint, kind int, node bigint, n int, place int")
 
 
 def _sets(docs: DataFrame, rule: Rule, bloom, text_col: str) -> DataFrame:  # noqa: ANN001
@@ -272,50 +273,51 @@ def _bloom(nodes: DataFrame) -> bytes:
 # Candidates
 
 
-def _rare_candidates(rows: DataFrame, rule: Rule) -> DataFrame:
-    """u, v, sure: pairs that share a rare shingle and pass the bounds on size and place; of dense runs only a star."""
+def _candidates(rows: DataFrame, rule: Rule) -> DataFrame:
+    """u, v, sure: pairs that share a rare shingle and pass the bounds on size and place (of runs in which most do, a sure star), and sure stars of nodes that share a key of frequent shingles.
 
-    def pairs(nodes: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    A run of a rare shingle is as long as its frequency, which the counters
+    bound; one of a frequent key has a row for each task of the index at most.
+    """
+
+    def pairs(n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         us, vs, total = [], [], 0
-        for at in range(0, len(nodes), 512):  # so many rows at a time bound the memory
+        for at in range(0, len(n), 512):  # so many rows at a time bound the memory
             i = slice(at, at + 512)
             most = np.minimum(n[i, None] - place[i, None], n[None] - place[None])
-            ok = (most >= rule.need(n[i, None] + n[None])) & (np.arange(at, min(at + 512, len(nodes)))[:, None] < np.arange(len(nodes))[None])
+            ok = (most >= rule.need(n[i, None] + n[None])) & (np.arange(at, min(at + 512, len(n)))[:, None] < np.arange(len(n))[None])
             a, b = np.nonzero(ok)
             us.append(a + at)
             vs.append(b)
             total += len(a)
-            if total > 4 * len(nodes):
-                return np.zeros(len(nodes) - 1, np.int64), np.arange(1, len(nodes)), True
+            if len(n) > 8 and total > len(n) ** 2 / 4:
+                return np.zeros(len(n) - 1, np.int64), np.arange(1, len(n)), True
         return np.concatenate(us), np.concatenate(vs), False
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 1):
-            edge = bounds(t, 1)
-            node, n, place = (t.column(i).to_numpy() for i in (1, 2, 3))
+        for t in runs(batches, 2):
+            edge = bounds(t, 2)
+            key, kind, node, n, place = (t.column(i).to_numpy() for i in range(5))
             out: dict[tuple[int, int], bool] = {}
-            for k in np.flatnonzero(np.diff(edge) > 1):
+            for k in np.flatnonzero((np.diff(edge) > 1) | (kind[edge[:-1]] == 2)):
                 i = slice(edge[k], edge[k + 1])
                 own, first = np.unique(node[i], return_index=True)
-                if len(own) > 1:
-                    a, b, sure = pairs(own, n[i][first].astype(np.int64), place[i][first].astype(np.int64))
+                if kind[edge[k]] == 2:
+                    other = int(key[edge[k]])
+                    out |= {(min(x, other), max(x, other)): True for x in own.tolist()}
+                elif len(own) > 1 and kind[edge[k]] == 1:
+                    out |= {(int(own[0]), x): True for x in own[1:].tolist()}
+                elif len(own) > 1:
+                    a, b, sure = pairs(n[i][first].astype(np.int64), place[i][first].astype(np.int64))
                     for x, y in zip(own[a].tolist(), own[b].tolist(), strict=True):
                         out[x, y] = out.get((x, y), False) or sure
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64()), pa.array(list(out.values()), pa.bool_())], names=["u", "v", "sure"])
 
-    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(work, "u bigint, v bigint, sure boolean")
+    found = rows.repartition("key").sortWithinPartitions("key", "kind", "node").mapInArrow(work, "u bigint, v bigint, sure boolean")
     return found.groupBy("u", "v").agg(F.max("sure").alias("sure"))
 
 
-def _hot_candidates(rows: DataFrame) -> DataFrame:
-    """u, v: nodes that share a key of frequent shingles, as stars around the smallest."""
-    keyed = rows.where("n = 0").select("key", "node")
-    first = keyed.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m < x").select("key", "m")
-    stars = keyed.join(first, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
-    return stars.union(rows.where("n = -1").select(F.col("node").alias("u"), F.col("key").alias("v"))).distinct()
-
-
 def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose bit tables allow enough shared shingles. A bit set on one side only stands for a shingle at least that the other lacks."""
 
@@ -434,18 +436,15 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     table = written(_prints(docs, rule, id_col, text_col), "prints")
     own = table.where("kind = 0").select(id_col, "n", "node", "bits")
     nodes = written(own.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(id_col).alias("least"), F.count("*").alias("copies")), "nodes")
-    index = _index(docs, rule, _frequent(spark, table), text_col)
-    index = written(index, "index")
-    rare = written(_rare_candidates(index.where("not hot").select("key", "node", "n", "place"), rule), "candidates")
-    sure = rare.where("sure").select("u", "v").union(_hot_candidates(index.where("hot")))
-    edges = written(_likely(rare.where("not sure").select("u", "v"), nodes, rule).union(sure), "likely")
+    pairs = written(_candidates(_index(docs, rule, _frequent(spark, table), text_col), rule), "candidates")
+    edges = written(_likely(pairs.where("not sure").select("u", "v"), nodes, rule).union(pairs.where("sure").select("u", "v")), "likely")
     clusters = components(edges).select("node", F.col("component").alias("cluster"))
     inside = clusters.join(nodes.select("node", "n"), "node")
     sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = written(clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     bloom = spark.sparkContext.broadcast(_bloom(members.select("node")))
-    sets = _sets(docs, rule, bloom, text_col).dropDuplicates(["node"])
-    spread = members.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A set may come once from each task; the copies link with themselves only.
+    spread = members.join(_sets(docs, rule, bloom, text_col), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "shingles")
     found = components(written(_verified(spread, rule), "links")).withColumnRenamed("component", "group")
     least = nodes.select("node", "least", "copies").join(found, "node", "left")

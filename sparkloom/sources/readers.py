@@ -24,7 +24,8 @@ def wrapped_arrays(spark: SparkSession, path: str, schema: str = PAIR, field: st
     """Arrays that are bare or lie in a field of an object."""
     raw = spark.read.text(path, wholetext=True).withColumn(key, _stem())
     item = "array<struct<" + ", ".join(": ".join(c.split()) for c in schema.split(",")) + ">>"
-    rows = F.coalesce(F.from_json("value", item), F.from_json("value", f"struct<{field}: {item}>")[field])
+    wrapped = F.ltrim("value").startswith("{")  # an object would pass for an array of one
+    rows = F.when(wrapped, F.from_json("value", f"{field} {item}")[field]).otherwise(F.from_json("value", item))
     return raw.select(key, F.inline(rows))
 
 

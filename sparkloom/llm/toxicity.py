@@ -85,13 +85,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * math.log1p(evidence)))))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Lower bounds of the log-odds of tokens, from their document counts in toxic and clean documents."""
-    t, c = toxic.sum(), clean.sum()
-    prior = PRIOR * (toxic + clean) / max(t + c, 1)
+def log_odds(toxic: Column, clean: Column, all_toxic: float, all_clean: float) -> Column:
+    """Lower bound of a token's log-odds, from its document counts and all tokens' counts in toxic and clean documents."""
+    prior = PRIOR * (toxic + clean) / (all_toxic + all_clean)
     a, b = toxic + prior, clean + prior
-    odds = np.log(a / np.maximum(t + PRIOR - a, 1e-9)) - np.log(b / np.maximum(c + PRIOR - b, 1e-9))
-    return odds - ERRORS * np.sqrt(1 / a + 1 / b)
+    rest = lambda total, x: F.greatest(total + PRIOR - x, F.lit(1e-9))
+    return F.log(a / rest(F.lit(all_toxic), a)) - F.log(b / rest(F.lit(all_clean), b)) - ERRORS * F.sqrt(1 / a + 1 / b)
 
 
 def _rate(p: dict[float, float]) -> float:
@@ -129,13 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["w", "toxic", "clean"])
 
-    counts = sample.mapInArrow(count, "w string, toxic bigint, clean bigint").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    model = Model()
-    if not counts["toxic"].sum() or not counts["clean"].sum():
+    counts = sample.mapInArrow(count, "w string, toxic bigint, clean bigint").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts, "token_counts")
+    model, total = Model(), counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    if not total["toxic"] or not total["clean"]:
         return model
-    low = log_odds(counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float))
-    good = low > DRIFT
-    model.scores = {w: float(min(x, TOP)) for w, x in zip(counts["w"][good], low[good], strict=True)}
+    low = log_odds(F.col("toxic"), F.col("clean"), float(total["toxic"]), float(total["clean"]))
+    model.scores = {r["w"]: min(r["low"], TOP) for r in counts.select("w", low.alias("low")).where(F.col("low") > DRIFT).collect()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -55,6 +55,11 @@ def report(checked: DataFrame, kept: DataFrame, by: str = "specialty") -> DataFr
     return funnel(checked, kept, by).join(maps, by, "left")
 
 
+def valid_made(question: str, answer: str, least_question: int = 40, least_answer: int = 80) -> Column:
+    """Lengths that a generated pair must have, trimmed; null counts as empty."""
+    return (F.length(T.strip(question)) >= least_question) & (F.length(T.strip(answer)) >= least_answer)
+
+
 def valid_translation(fr_q: str, fr_a: str, da_q: str, da_a: str) -> Column:
     """Four non-blank texts, and characters of the Arabic ranges at half the letters of the last two at least."""
     full = (T.strip(fr_q) != "") & (T.strip(fr_a) != "") & (T.strip(da_q) != "") & (T.strip(da_a) != "")

@@ -516,9 +516,15 @@ def response_match(spark, d):
     return incremental.match_by_id(p.drop("question"), p.where("pair_id % 3 <> 0").select("batch", "id", F.col("question").alias("fr")), ["batch", "id"], ["fr"]).select("pair_id", "fr")
 
 
+def _register() -> None:
+    from . import catalog_rows  # noqa: F401  its queries register themselves and use the views above
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(SQL)

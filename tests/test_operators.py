@@ -194,3 +194,9 @@ def test_plans(spark):
     for name in ("qc_reason_histogram", "recall_hallu", "kg_edges", "resume_anti_prefix"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_made_pair_lengths(spark):
+    rows = [("q" * 40, "a" * 80), ("q" * 39, "a" * 80), ("q" * 40, "a" * 79), (" " + "q" * 39 + " ", "a" * 80), (None, "a" * 80), ("", "")]
+    df = spark.createDataFrame(rows, "question string, answer string")
+    assert [r.ok for r in df.select(quality.valid_made("question", "answer").alias("ok")).collect()] == [True, False, False, False, False, False]

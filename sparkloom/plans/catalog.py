@@ -298,18 +298,18 @@ def _kg_sql() -> str:
 
 
 def _kg(spark: SparkSession, d: str) -> DataFrame:
-    b = _read(spark, d, "documents").where("length(text) < 2000").select(F.col("source").alias("drug"), F.col("text").alias("block"))
+    b = _read(spark, d, "documents").select(F.col("source").alias("drug"), F.col("text").alias("block"))
     return kg.emissions(b, lexicons=KG_TERMS)
 
 
 @query(f"{_kg_sql()} select relation, count(*)::bigint as emitted, count(distinct source || target)::bigint as distinct_edges from e group by 1")
 def kg_edges(spark, d):
-    return kg.edge_counts(_kg(spark, d).where("relation <> 'has_dosage'"))
+    return kg.edge_counts(_kg(spark, d))
 
 
 @query(f"{_kg_sql()} select distinct source, target, relation as key, relation from e")
 def kg_edge_set(spark, d):
-    return kg.edges(_kg(spark, d).where("relation <> 'has_dosage'"))
+    return kg.edges(_kg(spark, d))
 
 
 @query("select user_id, event_id, ts, coalesce(lead(ts) over (partition by user_id order by ts, event_id), timestamp '2100-01-01') as stop from events")

@@ -146,8 +146,8 @@ def grand_total(spark, d):
 
 @query(f"{_kg_sql()} select distinct target as id, split_part(target, ':', 1) as type from e union select distinct source, 'drug' from b")
 def kg_nodes(spark, d):
-    blocks = _read(spark, d, "documents").where("length(text) < 2000").select(F.col("source").alias("drug"))
-    return kg.nodes(blocks, _kg(spark, d).where("relation <> 'has_dosage'")).select("id", "type")
+    blocks = _read(spark, d, "documents").select(F.col("source").alias("drug"))
+    return kg.nodes(blocks, _kg(spark, d)).select("id", "type")
 
 
 @query("select distinct lower(source) as drug from documents where length(source) >= 5")

@@ -40,20 +40,24 @@ def union_first_wins(tables: Sequence[DataFrame], key: Column, order: Sequence[s
 def shingle_pairs(df: DataFrame, by: str, id_col: str, text_col: str, k: int = 8, threshold: float = 0.9) -> DataFrame:
     """Pairs within a group whose shingles reach the threshold (left_id < right_id) and their similarity.
 
-    A shingle is posted only if it lies in its set's prefix under the order by
-    hash, in which sets that reach the threshold must meet; candidates are
-    verified on the sets.
+    A shingle's hash is posted only if it lies in its set's prefix under the
+    order by hash, in which sets that reach the threshold must meet; candidates
+    are verified on the sets, made again from the texts, as texts are much
+    smaller than their shingles.
     """
-    sets = df.select(by, F.col(id_col).alias("id"), F.array_sort(F.transform(T.shingles(text_col, k), lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))).alias("set"))
+    hashes = F.array_sort(F.transform(T.shingles(text_col, k), lambda s: F.xxhash64(s)))
+    sets = df.select(by, F.col(id_col).alias("id"), hashes.alias("set"))
     n = F.size("set")
-    posted = sets.withColumn("p", F.explode(F.slice("set", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))).select(by, "id", F.col("p.s").alias("s"), n.alias("n"))
+    posted = sets.select(by, "id", n.alias("n"), F.explode(F.slice("set", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("h"))
     a, b = posted.alias("a"), posted.alias("b")
-    near = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id"))
+    near = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))
     fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
     pairs = a.join(b, near).where(fits).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
-    plain = sets.select("id", F.transform("set", lambda x: x["s"]).alias("set"))
-    out = pairs.join(plain.withColumnsRenamed({"id": "left_id", "set": "sa"}), "left_id").join(plain.withColumnsRenamed({"id": "right_id", "set": "sb"}), "right_id")
-    return out.withColumn("jaccard", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("jaccard") >= threshold).select("left_id", "right_id", "jaccard")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = pairs.join(texts.withColumnsRenamed({"id": "left_id", "text": "ta"}), "left_id").join(texts.withColumnsRenamed({"id": "right_id", "text": "tb"}), "right_id")
+    similarity = T.let(T.shingles("ta", k), lambda x: T.let(T.shingles("tb", k), lambda y: T.jaccard(x, y)))
+    # exploded, so that the filter doesn't work it out a second time
+    return out.select("left_id", "right_id", F.explode(F.array(similarity)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def greedy(df: DataFrame, by: str, order: str, text_col: str, k: int = 8, threshold: float = 0.9, memory: int = 512) -> DataFrame:

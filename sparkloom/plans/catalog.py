@@ -150,8 +150,7 @@ e as (select pair_id, specialty, len(s) as n, unnest(s) as x from g),
 o as (select a.pair_id as left_id, b.pair_id as right_id, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.x = b.x and a.specialty = b.specialty and a.pair_id < b.pair_id group by 1, 2)
 select left_id, right_id, round(c / (na + nb - c), 6)::double as jaccard from o where c / (na + nb - c) >= 0.9""")
 def shingle_near_pairs(spark, d):
-    p = pairs(spark, d).where("length(answer) < 3000")
-    return dedup.shingle_pairs(p, "specialty", "pair_id", "answer").withColumn("jaccard", F.round("jaccard", 6))
+    return dedup.shingle_pairs(pairs(spark, d), "specialty", "pair_id", "answer").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()

@@ -38,7 +38,8 @@ def span(s: str, opening: str, closing: str) -> str | None:
 
 
 def without_trailing_commas(s: str) -> str:
-    return re.sub(r",\s*(?=[}\]])", "", s)
+    """Commas inside strings stay."""
+    return re.sub(r'("(?:[^"\\]|\\.)*(?:"|$))|,\s*(?=[}\]])', lambda m: m[1] or "", s, flags=re.S)
 
 
 def closed(s: str) -> str:

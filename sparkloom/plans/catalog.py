@@ -479,8 +479,7 @@ def median_ratio(spark, d):
 
 @query("with a as (select '<think>x</think><answer> ' || substring(text, 1, 9) || ' </answer>' as t, doc_id from documents where doc_id % 2 = 0 union all select substring(text, 1, 9), doc_id from documents where doc_id % 2 = 1) select doc_id, " + STRIP.format("case when doc_id % 2 = 0 then regexp_extract(t, '(?s)<answer>(.*?)</answer>', 1) else t end") + " as answer, case when doc_id % 2 = 0 then 1.0 else 0.0 end::double as form from a")
 def answer_format(spark, d):
-    x = F.substring("text", 1, 9)
-    t = _read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>x</think><answer> "), x, F.lit(" </answer>"))).otherwise(x).alias("t"))
+    t = _read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>x</think><answer> "), "text", F.lit(" </answer>"))).otherwise(F.col("text")).alias("t"))
     return t.select("doc_id", T.extract_answer("t").alias("answer"), T.format_reward("t").alias("form"))
 
 
@@ -498,7 +497,11 @@ def diagnosis_hits(spark, d):
 
 @query()
 def json_repair(spark, d):
-    raw = F.concat(F.lit('```json\n{"think": "'), F.regexp_replace(F.substring("text", 1, 80), r'["\\\n]', " "), F.when(F.col("doc_id") % 3 == 0, '",}\n```').when(F.col("doc_id") % 3 == 1, '"}').otherwise(""))
+    # the whole text as an escaped string and an object inside; in a fence with a comma too many, without its fence's end, or cut off inside the string
+    opened = F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.col("text").alias("think"))))
+    opened = F.substr(opened, F.lit(1), F.length(opened) - 2)
+    meta = F.concat(F.lit('", "meta": '), F.to_json(F.struct("lang", "source")))
+    raw = F.concat(F.lit("```json\n"), opened, F.when(F.col("doc_id") % 3 == 0, F.concat(meta, F.lit(",}\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(meta, F.lit("}"))).otherwise(""))
     x = _read(spark, d, "documents").select("doc_id", raw.alias("raw"))
     return x.select("doc_id", jsonfix.repaired("raw").alias("fixed"), jsonfix.think("raw").alias("t")).select("doc_id", "fixed", "t.think", "t.reason")
 

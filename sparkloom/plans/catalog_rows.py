@@ -80,7 +80,7 @@ def sentences(spark, d):
 y as (select doc_id, regexp_replace(t, '(?i)^\s*(?:{GREETING})?\s*[!,.\s]*(?:welcome|bienvenue)\s+(?:to|sur|au|à|a)\s+(?:{SITE})(?:\.com)?\s*[.!,]?\s*', '') as t from x) select doc_id, {STRIP.format('t')} as t from y""")
 def opener_strip(spark, d):
     head = F.when(F.col("doc_id") % 3 == 0, "Hello, Welcome to i-cliniq.com. ").when(F.col("doc_id") % 3 == 1, " bonjour bienvenue sur icliniq! ").otherwise("")
-    return _read(spark, d, "documents").select("doc_id", T.strip_opener(F.concat(head, F.substring("text", 1, 80)), GREETING, SITE).alias("t"))
+    return _read(spark, d, "documents").select("doc_id", T.strip_opener(F.concat(head, "text"), GREETING, SITE).alias("t"))
 
 
 @query(r"""with x as (select doc_id, 'take ' || doc_id || ' mg, 2,5 ml, 5 gouttes, 5 Gouttes or 3 daily and 7 mgs' as t from documents)

@@ -32,6 +32,11 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 OUTSIDE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog"}
 MAIN = {"article", "main"}
+#: By a start tag: what it closes without an end tag, and what may lie open inside that
+IMPLIED = {
+    "li": ({"li"}, {"p"}), "option": ({"option"}, set()), "dt": ({"dt", "dd"}, {"p"}), "dd": ({"dt", "dd"}, {"p"}), "td": ({"td", "th"}, {"p"}), "th": ({"td", "th"}, {"p"}),
+    "tr": ({"tr"}, {"td", "th", "p"}), **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"}, {"tr", "td", "th", "p"})),
+}
 # Class, id and role words of what is no main text
 OUTSIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "footer", "header", "masthead", "comment", "comments", "disqus", "reply", "replies", "social", "share", "sharing", "related", "recommended", "subscribe", "newsletter", "signup", "login", "search", "widget", "toolbar"}
 
@@ -56,8 +61,13 @@ def read(html: str | None) -> tuple[list[Block], list[str]]:
     blocks: list[Block] = []
     tags: list[str] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, outside, main
+    opened: Counter = Counter()  # by name, on the stack
     parts: list[str] = []
 
+    def close(k: int) -> None:
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def flush() -> None:
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
@@ -85,18 +95,25 @@ def read(html: str | None) -> tuple[list[Block], list[str]]:
         else:
             flush()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
             else:
-                if name in CLOSES_P and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
-                    stack.pop()
+                if name in CLOSES_P and stack[-1][0] == "p":
+                    close(len(stack) - 1)
+                ends, within = IMPLIED.get(name, ((), ()))
+                k = len(stack) - 1
+                while ends and stack[k][0] in within:
+                    k -= 1
+                if stack[k][0] in ends:
+                    close(k)
                 marks = _marks(m[3]) if m[3] else set()
                 _, path, outside, main = stack[-1]
                 path = f"{path}/{name}" + "".join("." + w for w in sorted(marks)[:4])
+                if len(path) > 1000:  # keeps the paths of deep pages short
+                    path = f"#{_key(path)}"
                 tags.append(path)
-                if name not in VOID and not m[3].endswith("/") and len(stack) < 200:
+                if name not in VOID and not m[3].endswith("/"):
+                    opened[name] += 1
                     stack.append((name, path, outside or name in OUTSIDE or bool(marks & OUTSIDE_WORDS), main or name in MAIN or "main" in marks))
     flush()
     return blocks, tags

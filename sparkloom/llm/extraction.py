@@ -140,7 +140,7 @@ def occurrences(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 blocks, tags = read(html)
                 host, page = _host_of(url), _key(f"{url}\n{html}") >> 16
                 count: Counter = Counter((_key(t), False) for t in tags)
-                count.update((_key(f"{x.path}\n{x.text}"), True) for x in blocks if not x.main)
+                count.update((_key(f"{x.path}\n{x.text}"), True) for x in blocks)
                 count[0, False] = 1
                 for (token, is_text), n in count.items():
                     s = sums.setdefault((host, token, is_text), [0, 0, 0])
@@ -170,12 +170,10 @@ def templates(seen: DataFrame) -> DataFrame:
 
 
 def main_text(html: str | None, boilerplate: set[int]) -> str:
-    """What fills the template's slots: the article's blocks if the page marks an article, else the blocks that are neither outside nor boilerplate."""
-    blocks, _ = read(html)
-    inside = [x.text for x in blocks if x.main and not x.outside]
-    if not inside:
-        inside = [x.text for x in blocks if not x.outside and not x.main and _key(f"{x.path}\n{x.text}") not in boilerplate]
-    return "\n\n".join(inside)
+    """What fills the template's slots: blocks that are neither outside nor boilerplate, and only the marked ones if the page marks an article."""
+    blocks = [x for x in read(html)[0] if not x.outside]
+    marked = any(x.main for x in blocks)
+    return "\n\n".join(x.text for x in blocks if x.main == marked and _key(f"{x.path}\n{x.text}") not in boilerplate)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

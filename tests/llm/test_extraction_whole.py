@@ -12,3 +12,14 @@ def test_deep_pages():
     assert {x.path for x in blocks} == {"/div/article/table/tr/td", "/div/article/table/tr/td/p", "/div/article/p"} and all(x.main for x in blocks)
     blocks, _ = extraction.read("<dl><dt>a<dd>b<dt>c<dd><p>d</dl><ul><li>x<ul><li>y<li>z</ul><li>w</ul>")
     assert [x.path for x in blocks] == ["/dl/dt", "/dl/dd", "/dl/dt", "/dl/dd/p", "/ul/li", "/ul/li/ul/li", "/ul/li/ul/li", "/ul/li"]
+
+
+def _texts(spark, pages):
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    return [r.text for r in sorted(extraction.extract(df).collect())]
+
+
+def test_boilerplate_inside_article(spark):
+    pages = [("a.org", f"<nav>menu</nav><article><h1>Title {i}</h1><p>Text of page number {i}</p><p>Tell your friends about us</p></article>") for i in range(6)]
+    assert _texts(spark, pages) == [f"Title {i}\n\nText of page number {i}" for i in range(6)]

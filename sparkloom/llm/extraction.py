@@ -1,8 +1,8 @@
 """Main text by template deduction.
 
 Pages are read as tokens: tags with their structural path, and text blocks with
-theirs. On each host, tokens with the same occurrence vector over the host's
-pages form an equivalence class. A class that covers enough pages and nests with
+theirs. On each host, and among its pages of one structure, tokens with the same
+occurrence vector over the distinct contents form an equivalence class. A class that covers enough pages and nests with
 the structure belongs to the host's template; texts in it are boilerplate, and
 what fills the template's slots differs from page to page. Vectors are compared
 by a sum of page hashes weighted by occurrences, which adds up in any order, so
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Share of a host's pages that a template class covers, and pages it needs at least.
+#: Share of a group's contents that a template class covers, and contents it needs at least.
 COVER, LEAST_PAGES = 0.3, 3
+#: Share that a page's own text has of itself and a template class.
+DIFFER = 0.1
 
 # Names of HTML
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -130,43 +132,72 @@ def _host_of(url: str | None) -> str:
     return (url or "").partition("://")[2].split("/")[0].split("?")[0].split("#")[0].lower()
 
 
-def occurrences(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, token, is_text, pages, total, vector: each token's occurrences over a host's pages, added up. Token 0 stands for the page itself."""
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id, url, host, structure, content, blocks, tokens of each row.
+
+    structure is a hash of the set of tag paths; content is one of the blocks that aren't
+    outside. blocks are those main_text chooses from. tokens are tags and text blocks with
+    their counts; chars is the length of a text block that isn't outside, else 0.
+    """
+    fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col)]
+    block_type = pa.struct([("token", pa.int64()), ("text", pa.string())])
+    token_type = pa.struct([("token", pa.int64()), ("is_text", pa.bool_()), ("n", pa.int64()), ("chars", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple[str, int, bool], list[int]] = {}
-            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hosts, structures, contents, chosen, tokens = [], [], [], [], []
+            for url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 blocks, tags = read(html)
-                host, page = _host_of(url), _key(f"{url}\n{html}") >> 16
-                count: Counter = Counter((_key(t), False) for t in tags)
-                count.update((_key(f"{x.path}\n{x.text}"), True) for x in blocks)
-                count[0, False] = 1
-                for (token, is_text), n in count.items():
-                    s = sums.setdefault((host, token, is_text), [0, 0, 0])
-                    s[0] += 1
-                    s[1] += n
-                    s[2] = (s[2] + n * page) & 0xFFFFFFFFFFFF
-            cols = list(zip(*((h, t, i, *s) for (h, t, i), s in sums.items()), strict=True)) or [[]] * 6
-            types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "token", "is_text", "pages", "total", "vector"])
-
-    rows = pages.select(url_col, html_col).mapInArrow(work, "host string, token bigint, is_text boolean, pages bigint, total bigint, vector bigint")
-    return rows.groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.pmod(F.sum(F.col("vector") % (1 << 40)), F.lit(1 << 40)).alias("vector"))
+                keys = [_key(f"{x.path}\n{x.text}") for x in blocks]
+                chars = {k: 0 if x.outside else len(x.text) for k, x in zip(keys, blocks, strict=True)}
+                hosts.append(_host_of(url))
+                structures.append(_key("\n".join(sorted(set(tags)))) | 1)  # 0 stands for the whole host
+                contents.append(_key(" ".join(str(k) for k, x in zip(keys, blocks, strict=True) if not x.outside)) >> 16)
+                marked = any(x.main for x in blocks if not x.outside)
+                chosen.append([{"token": k, "text": x.text} for k, x in zip(keys, blocks, strict=True) if not x.outside and x.main == marked])
+                count = [{"token": _key(t), "is_text": False, "n": n, "chars": 0} for t, n in Counter(tags).items()]
+                count += [{"token": k, "is_text": True, "n": n, "chars": chars[k]} for k, n in Counter(keys).items()]
+                tokens.append([{"token": 0, "is_text": False, "n": 1, "chars": 0}, *count])
+            arrays = [pa.array(hosts, pa.string()), pa.array(structures, pa.int64()), pa.array(contents, pa.int64()), pa.array(chosen, pa.list_(block_type)), pa.array(tokens, pa.list_(token_type))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=[id_col, url_col, "host", "structure", "content", "blocks", "tokens"])
+
+    schema = ", ".join([*fields, "host string, structure bigint, content bigint, blocks array<struct<token: bigint, text: string>>, tokens array<struct<token: bigint, is_text: boolean, n: bigint, chars: bigint>>"])
+    return pages.select(id_col, url_col, html_col).mapInArrow(work, schema)
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """host, structure, token, is_text, pages, total, vector, chars, low, high: each token's occurrences over a host's distinct
+    contents (structure 0) and over those of each structure. Token 0 stands for the page itself; low and high are two of the contents."""
+    page = F.struct("structure", F.xxhash64("tokens").alias("h"), "tokens")
+    distinct = rows.groupBy("host", "content").agg(F.min_by("tokens", page["h"]).alias("tokens"), F.min_by("structure", page["h"]).alias("structure"))
+    each = distinct.select("host", "content", F.explode(F.array(F.lit(0).cast("bigint"), "structure")).alias("structure"), "tokens").select("host", "content", "structure", F.inline("tokens"))
+    vector = F.sum(F.pmod(F.col("n") * F.pmod("content", F.lit(1 << 40)), F.lit(1 << 40)))
+    return each.groupBy("host", "structure", "token", "is_text").agg(
+        F.count("*").alias("pages"), F.sum("n").alias("total"), F.pmod(vector, F.lit(1 << 40)).alias("vector"), F.max("chars").alias("chars"), F.min("content").alias("low"), F.max("content").alias("high")
+    )
 
 
 def templates(seen: DataFrame) -> DataFrame:
-    """host, texts: the text tokens of each host's template (at most tokens-per-page / COVER of them).
+    """host, structure, texts: the text tokens of the template of each host (structure 0) and of each structure on it.
 
     A class is the tokens of one occurrence vector. It is valid if it covers
-    enough of the host's pages, and nests if it occurs as often as a structural
-    class does or evenly on its pages.
+    enough of the group's contents, nests (occurs as often as a structural class
+    does or evenly on its pages), and the pages differ beside it: on two of them
+    text found on fewer than LEAST_PAGES contents of the host is at least the
+    share DIFFER of that text and the class together. Near copies fail that.
     """
-    sizes = seen.where("token = 0").select("host", F.col("pages").alias("host_pages"))
-    wide = seen.where("token <> 0").join(sizes, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= COVER * F.col("host_pages")))
-    classes = wide.groupBy("host", "pages", "total", "vector").agg(F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.max((~F.col("is_text")).cast("int")).alias("tagged"))
-    valid = classes.where((F.size("texts") > 0) & ((F.col("tagged") == 1) | (F.col("total") % F.col("pages") == 0)))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    sizes = seen.where("token = 0").select("host", "structure", F.col("pages").alias("group_pages"))
+    wide = seen.where("token <> 0").join(sizes, ["host", "structure"]).where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= COVER * F.col("group_pages")))
+    texts = F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts")
+    classes = wide.groupBy("host", "structure", "pages", "total", "vector", "low", "high").agg(texts, F.max((~F.col("is_text")).cast("int")).alias("tagged"), F.sum("chars").alias("chars"))
+    nested = classes.where((F.size("texts") > 0) & ((F.col("tagged") == 1) | (F.col("total") % F.col("pages") == 0)))
+    rare = seen.where((F.col("structure") == 0) & F.col("is_text") & (F.col("chars") > 0) & (F.col("pages") < LEAST_PAGES))
+    own = rare.select("host", "chars", F.explode(F.array_distinct(F.array("low", "high"))).alias("content")).groupBy("host", "content").agg(F.sum("chars").alias("own"))
+    for end in ("low", "high"):
+        nested = nested.join(own.withColumnsRenamed({"content": end, "own": f"own_{end}"}), ["host", end], "left")
+    least = F.least(*(F.coalesce(f"own_{end}", F.lit(0)) for end in ("low", "high")))
+    valid = nested.where(least >= DIFFER * (least + F.col("chars")))
+    return valid.groupBy("host", "structure").agg(F.flatten(F.collect_list("texts")).alias("texts"))
 
 
 def main_text(html: str | None, boilerplate: set[int]) -> str:
@@ -180,20 +211,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: id, url, text, n_chars.
 
     Null and empty html give an empty text. Urls without a host share the host
-    ''. Repeated pages count once for each row. Hosts with fewer than LEAST_PAGES
-    pages have no template, and their pages go by markup alone. Rows stay one for
-    one. Templates are joined by host; Spark broadcasts them only if they are
-    small, and splits a hot host otherwise.
+    ''. Pages with the same content count once. Groups of fewer than LEAST_PAGES
+    contents have no template, and their pages go by markup alone. Rows stay one for
+    one. Templates are joined by host and by structure; Spark broadcasts them only
+    if they are small, and splits a hot host otherwise.
     """
     small_batches(pages.sparkSession)
-    found = written(templates(occurrences(pages, url_col, html_col)), "templates")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)://([^/?#]*)", 1))
-    joined = pages.select(id_col, url_col, html_col).withColumn("__host", host).join(found.withColumnRenamed("host", "__host"), "__host", "left").select(id_col, url_col, html_col, "texts")
-    fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col)]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(h, set(t or ())) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
-
-    return joined.mapInArrow(work, ", ".join([*fields, "text string, n_chars bigint"]))
+    rows = parsed(pages, id_col, url_col, html_col)
+    found = written(templates(written(occurrences(rows.select("host", "structure", "content", "tokens")), "occurrences")), "templates")
+    whole = found.where("structure = 0").select("host", F.col("texts").alias("of_host"))
+    joined = rows.drop("content", "tokens").join(whole, "host", "left").join(found.where("structure <> 0"), ["host", "structure"], "left")
+    has = lambda texts, x: F.coalesce(F.array_contains(texts, x["token"]), F.lit(False))
+    slots = F.filter("blocks", lambda x: ~has("of_host", x) & ~has("texts", x))
+    text = F.array_join(F.transform(slots, lambda x: x["text"]), "\n\n")
+    return joined.select(id_col, url_col, text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -23,3 +23,17 @@ def _texts(spark, pages):
 def test_boilerplate_inside_article(spark):
     pages = [("a.org", f"<nav>menu</nav><article><h1>Title {i}</h1><p>Text of page number {i}</p><p>Tell your friends about us</p></article>") for i in range(6)]
     assert _texts(spark, pages) == [f"Title {i}\n\nText of page number {i}" for i in range(6)]
+
+
+def test_copies_are_no_template(spark):
+    body = "".join(f"<p>Sentence {k} of a page that was copied in full.</p>" for k in range(8))
+    copies = [("c.org", f"<div>{body}</div>")] * 3 + [("c.org", f"<div>{body}<p>{i}</p></div><footer>{i}</footer>") for i in range(3)]
+    others = [("c.org", f"<div><p>Quite another text, number {i}</p></div>") for i in range(4)]
+    got = _texts(spark, copies + others)
+    want = "\n\n".join(f"Sentence {k} of a page that was copied in full." for k in range(8))
+    assert got == [want] * 3 + [f"{want}\n\n{i}" for i in range(3)] + [f"Quite another text, number {i}" for i in range(4)]
+
+
+def test_templates_of_a_large_host(spark):
+    page = "<div class='t{t}'><p>Own text number {i} of this page</p><p>Line of template {t}</p></div>"
+    assert _texts(spark, [("d.org", page.format(t=i % 8, i=i)) for i in range(48)]) == [f"Own text number {i} of this page" for i in range(48)]

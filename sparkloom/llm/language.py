@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Labelled texts for each language (those of smallest hash); cells of the trigram tables.
+#: Labelled texts for each language (those of smallest hash); cells of the trigram tables, and in all languages' tables together.
 SAMPLE_ROWS, CELLS = 1_500, 1 << 15
+ALL_CELLS = 64 * CELLS
 #: Trigrams overlap, so their sum is tempered; and a text counts for so many trigrams at most.
 TEMPER, MOST_GRAMS = 0.3, 400
 #: Pseudo-counts: of a language given a declaration or suffix, of the domain in a host, of all pages in a domain.
@@ -29,6 +30,7 @@ SMOOTH, HOST_WEIGHT, DOMAIN_WEIGHT = 1.0, 10.0, 50.0
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|head|nav|footer|aside|form)\b.*?</\1\s*>|<[^>]*>")
 _LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_FIRST = re.compile(r"(?is)<!--.*?(?:-->|\Z)|(<html\b[^>]*)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -37,7 +39,8 @@ def visible(html: str | None) -> str:
 
 
 def declared(html: str | None) -> str:
-    m = _LANG.search(html[:4096]) if html else None  # the declaration stands in the first tag
+    tag = next((m[1] for m in _FIRST.finditer(html or "") if m[1]), "")  # the first that stands in no comment
+    m = _LANG.match(tag)
     return m[1].lower() if m else ""
 
 
@@ -52,12 +55,15 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def train_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of trigrams, from at most `rows` labelled texts of each of the 64 most frequent languages."""
+    """Languages and log-probabilities of trigrams, from at most `rows` labelled texts of each language. Many languages share fewer cells each."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()
+    found = known.groupBy(lang_col).count().collect()
     langs = sorted(r[0] for r in found)
     if not langs:
         return ["und"], np.full((1, CELLS), -np.log(CELLS))
+    size = CELLS  # a power of two
+    while size > 1 << 10 and size * len(langs) > ALL_CELLS:
+        size //= 2
     # A share of each language by hash that holds about `rows` texts: no sort and no window over the corpus
     share = F.create_map(*(x for r in found for x in (F.lit(r[0]), F.lit(min(1.0, rows / r["count"])))))
     picked = known.where((F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < F.element_at(share, F.col(lang_col)) * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -66,20 +72,20 @@ def train_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = sums.setdefault(lang, np.zeros(CELLS, np.int64))
-                s += np.bincount(trigrams(text), minlength=CELLS)
+                s = sums.setdefault(lang, np.zeros(size, np.int64))
+                s += np.bincount(trigrams(text) % size, minlength=size)
         cells = [(k, c, s[c]) for k, s in sums.items() for c in np.flatnonzero(s)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in cells], pa.string()), pa.array([x[1] for x in cells], pa.int32()), pa.array([x[2] for x in cells], pa.int64())], names=["lang", "cell", "n"])
 
     counts = picked.mapInArrow(count, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((len(langs), CELLS), 0.5)
+    table = np.full((len(langs), size), 0.5)
     table[counts["lang"].map(langs.index).to_numpy(int), counts["cell"].to_numpy(int)] += counts["n"]
     return langs, np.log(table / table.sum(1, keepdims=True))
 
 
 def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url_col: str, html_col: str, keep: list[str]) -> DataFrame:
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(table.astype(np.float32))  # at most 64 languages x CELLS
+    shared = spark.sparkContext.broadcast(table.astype(np.float32))  # at most ALL_CELLS, or 1,024 for each language
     fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +93,7 @@ def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col
         for b in batches:
             logs, said = [], []
             for html in b.column(2).to_pylist():
-                cells = trigrams(visible(html))
+                cells = trigrams(visible(html)) % t.shape[1]
                 n = len(cells)
                 logs.append((t[:, cells].sum(1).astype(float) * (TEMPER * min(1.0, MOST_GRAMS / n))).tolist() if n else [0.0] * len(langs))
                 said.append(declared(html))

@@ -44,10 +44,12 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
 
     A list of candidate segments is kept with the running total before and after
     each. A new one joins back to the last candidate that began lower, if that
-    raises its total; each candidate is merged once, so the scan is linear in the
+    raises its total; each candidate has a link to the last one before it that
+    began lower, so the search skips those between, and the scan is linear in the
     hits. Segments begin and end with hits.
     """
     done: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    lower: list[int] = []  # for each, the last one that began lower, or -1
     total, at = 0.0, 0
     for place, score in hits:
         total -= drift * (place - at)
@@ -56,12 +58,13 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
         while True:
             k = len(done) - 1
             while k >= 0 and done[k][2] >= new[2]:
-                k -= 1
+                k = lower[k]
             if k < 0 or done[k][3] >= new[3]:
                 done.append(new)
+                lower.append(k)
                 break
             new = (done[k][0], new[1], done[k][2], new[3])
-            del done[k:]
+            del done[k:], lower[k:]
     return [(a, b, after - before) for a, b, before, after in done]
 
 

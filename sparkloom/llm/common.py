@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
-#: Rows of an Arrow batch handed to Python; long texts make a batch of the default 10,000 rows too large.
-BATCH_ROWS = "1000"
+#: Most bytes of an Arrow batch handed to Python (a longer row goes alone).
+BATCH_BYTES = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of one Arrow batch (takes effect when the plan runs)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the bytes of one Arrow batch. Plans are lazy, so the session keeps the setting; a lower one of its own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key).rstrip("b")
+    if not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:

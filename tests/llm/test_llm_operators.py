@@ -55,21 +55,46 @@ def test_sentencepiece_any_text(text):
     assert ids == " ".join(map(str, want)) and decoded == c.sp.decode(want)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab 's1½ÀéµŸ-_\n|<>") | st.characters(exclude_categories=["Cs"]), max_size=40))
-def test_word_tokenizer_any_text(text):
+@pytest.fixture(scope="module")
+def words_library():
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+_PIECES = ["'s", "'re", "'ll", "'", "''d", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "a", "B", "the ", " ", "1", "½", "À", "é", "µ", "Ÿ", "-_", "\n", "\x1c", "\x85", "\xa0", "\x00", "\x7f", "|>", "日", "e\u0301"]
 
-    t = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    assert np.frombuffer(t.run([text])[0], "<u2").tolist() == t.tk.encode(text, add_special_tokens=False).ids
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PIECES) | st.characters(exclude_categories=["Cs"]) | st.characters(max_codepoint=255), max_size=25).map("".join) | st.none(), max_size=4))
+def test_word_tokenizer_any_text(words_library, texts):
+    t = packing.WordTokenizer(words_library_path(), limit=20)
+    for _ in range(2):
+        ids, begins = t.run(texts, 2)
+        got = [ids[a:b].tolist() for a, b in zip(begins, begins[1:])]
+        assert got == [words_library.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
-def test_packing(docs, nothing):
+
+def words_library_path():
     import public_tokenizers
 
-    t = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_word_tokenizer_special_tokens(words_library):
+    t = packing.tokenizer(words_library_path())
+    ids, begins = t.run(["a <|endoftext|> b", "x<|startoftext|>y", "< | endoftext | >", None, "a <|endoftext|> b"])
+    assert begins.tolist()[0] == 0 and ids[:4].tolist() == [320, 49407, 321, 2] and ids[begins[4] :].tolist() == [320, 49407, 321, 2]
+    assert ids[begins[1] : begins[2]].tolist() == words_library.encode("x<|startoftext|>y", add_special_tokens=False).ids + [2]
+
+
+def test_packing(docs, nothing, spark, words_library, monkeypatch):
+    monkeypatch.setattr(packing, "CHARS", 100)  # so that batches are taken apart
+    extra = spark.createDataFrame([(200, "x <|endoftext|> y")], "doc_id bigint, text string")
+    docs = docs.withColumnsRenamed({"score": "ids", "kept": "row", "n": "begin", "node": "sequence_id"}).unionByName(extra, allowMissingColumns=True)
     rows = packing.pack(docs).collect()
-    whole = sorted(t.tk.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect())
+    whole = sorted(words_library.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect())
     found, part = [], []
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length and r.start == len(part)
@@ -83,6 +108,9 @@ def test_packing(docs, nothing):
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert sorted(used) == list(range(len(used))) and all(n == 4096 for s, n in used.items() if s != max(used))
     assert packing.pack(nothing).count() == 0
+    same = packing.pack(docs.drop("row").withColumnRenamed("doc_id", "row"), id_col="row")  # ties and repeated ids come in the same order
+    order = lambda rows: [tuple(r) for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert order(same.collect()) == order(rows) and same.columns[0] == "row"
 
 
 def test_hilbert_neighbours():

@@ -84,9 +84,10 @@ def qc_reason_histogram(spark, d):
     return quality.rejections(_checked(spark, d))
 
 
+# count(case ...) and not count_if, which is null in DuckDB for a group whose k.r are all null
 @query(f"""with {REASONS}, k as (select *, row_number() over (partition by lower(substring(question, 1, 100)) order by pair_id) as r from c where reason = 'ok')
-select specialty, count(*)::bigint as input, count_if(c.reason = 'ok')::bigint as kept_after_filter, count_if(k.r = 1)::bigint as kept_after_dedup,
-round(100.0 * count_if(k.r = 1) / greatest(1, count(*)), 6)::double as keep_rate from c left join (select pair_id, r from k) k using (pair_id) group by specialty""")
+select specialty, count(*)::bigint as input, count_if(c.reason = 'ok')::bigint as kept_after_filter, count(case when k.r = 1 then 1 end)::bigint as kept_after_dedup,
+round(100.0 * count(case when k.r = 1 then 1 end) / greatest(1, count(*)), 6)::double as keep_rate from c left join (select pair_id, r from k) k using (pair_id) group by specialty""")
 def qc_funnel(spark, d):
     c = _checked(spark, d)
     kept = dedup.first_wins(c.where("reason = 'ok'"), T.prefix_key("question"), ["pair_id"])
@@ -144,7 +145,7 @@ def union_precedence(spark, d):
     return dedup.union_first_wins([p.where("pair_id % 3 <> 0"), p.where("pair_id % 3 = 0")], T.prefix_key("question", 100, False), ["pair_id"]).select("pair_id", "specialty")
 
 
-@query(rf"""with {PAIRS}, w as (select pair_id, specialty, regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]+') as w from p where length(answer) < 3000),
+@query(rf"""with {PAIRS}, w as (select pair_id, specialty, regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]+') as w from p),
 g as (select pair_id, specialty, list_distinct(case when len(w) < 8 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' ')) end) as s from w),
 e as (select pair_id, specialty, len(s) as n, unnest(s) as x from g),
 o as (select a.pair_id as left_id, b.pair_id as right_id, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.x = b.x and a.specialty = b.specialty and a.pair_id < b.pair_id group by 1, 2)
@@ -285,11 +286,13 @@ def acceptance(spark, d):
     return agreement.acceptance(items)
 
 
-KG = "b as (select 'drug:' || source as source, lower(coalesce(text, '')) as t from documents where length(text) < 2000)"
+# The units of the monograph dosages
+_DOSE = r"(?i)\b(\d+(?:[.,]\d+)?)\s?(mg|g|µg|mcg|ug|UI|IU|ml|mL|%|cp|comprim[ée]s?|gouttes?|gél(?:ule|ules)?|sachets?|amp(?:\.|oule)s?)(?:\s?/\s?(?:j|jour|24\s?h|kg|m2|prise))?"
+KG = "b as (select 'drug:' || source as source, coalesce(text, '') as x, lower(coalesce(text, '')) as t from documents)"
 
 
 def _kg_sql() -> str:
-    parts = []
+    parts = [f"select source, 'dosage:' || unnest(list_distinct(regexp_extract_all(x, '{_DOSE}'))) as target, 'has_dosage' as relation from b"]
     for rel, kind, terms, gate in [("has_route", "route", "routes", None), ("indication", "symptom", "symptoms", "indication"), ("treats", "disease", "diseases", "indication"), ("contraindication", "disease", "diseases", "contraindication")]:
         when = f" and {_any('t', KG_TERMS[gate])}" if gate else ""
         parts += [f"select source, '{kind}:{x}' as target, '{rel}' as relation from b where contains(t, '{x}'){when}" for x in KG_TERMS[terms]]
@@ -462,8 +465,8 @@ def md5_ids(spark, d):
     return pairs(spark, d).select("pair_id", T.md5_key("question").alias("a"), T.md5_key("question", "answer", "specialty", sep="|").alias("b"), T.md5_key("question", "specialty", n=12).alias("c"))
 
 
-@query(r"""with x as (select doc_id, text || ' take ' || doc_id || ' mg/jour or 2,5 ml' as t from documents)
-select doc_id, regexp_extract_all(t, '(?i)\b(\d+(?:[.,]\d+)?)\s?(mg|g|µg|mcg|ug|UI|IU|ml|mL|%|cp|comprim[ée]s?|gouttes?|gél(?:ule|ules)?|sachets?|amp(?:\.|oule)s?)(?:\s?/\s?(?:j|jour|24\s?h|kg|m2|prise))?') as dosages from x""")
+@query(rf"""with x as (select doc_id, text || ' take ' || doc_id || ' mg/jour or 2,5 ml' as t from documents)
+select doc_id, regexp_extract_all(t, '{_DOSE}') as dosages from x""")
 def dosage_extract(spark, d):
     t = F.concat("text", F.lit(" take "), "doc_id", F.lit(" mg/jour or 2,5 ml"))
     return _read(spark, d, "documents").select("doc_id", T.dosages(t).alias("dosages"))
@@ -477,7 +480,7 @@ def median_ratio(spark, d):
     return out.withColumns({"q_ratio": F.round("q_ratio", 6), "a_ratio": F.round("a_ratio", 6)})
 
 
-@query("with a as (select '<think>x</think><answer> ' || substring(text, 1, 9) || ' </answer>' as t, doc_id from documents where doc_id % 2 = 0 union all select substring(text, 1, 9), doc_id from documents where doc_id % 2 = 1) select doc_id, " + STRIP.format("case when doc_id % 2 = 0 then regexp_extract(t, '(?s)<answer>(.*?)</answer>', 1) else t end") + " as answer, case when doc_id % 2 = 0 then 1.0 else 0.0 end::double as form from a")
+@query("with a as (select '<think>x</think><answer> ' || text || ' </answer>' as t, doc_id, text from documents where doc_id % 2 = 0 union all select text, doc_id, text from documents where doc_id % 2 = 1) select doc_id, " + STRIP.format("case when doc_id % 2 = 0 then regexp_extract(t, '(?s)<answer>(.*?)</answer>', 1) else coalesce(t, '') end") + " as answer, case when doc_id % 2 = 0 and text is not null then 1.0 else 0.0 end::double as form from a")
 def answer_format(spark, d):
     t = _read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>x</think><answer> "), "text", F.lit(" </answer>"))).otherwise(F.col("text")).alias("t"))
     return t.select("doc_id", T.extract_answer("t").alias("answer"), T.format_reward("t").alias("form"))

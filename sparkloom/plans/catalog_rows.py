@@ -76,7 +76,7 @@ def sentences(spark, d):
     return _read(spark, d, "documents").select("doc_id", T.sentence_count("text").cast("long").alias("n"))
 
 
-@query(rf"""with x as (select doc_id, case doc_id % 3 when 0 then 'Hello, Welcome to i-cliniq.com. ' when 1 then ' bonjour bienvenue sur icliniq! ' else '' end || substring(text, 1, 80) as t from documents),
+@query(rf"""with x as (select doc_id, case doc_id % 3 when 0 then 'Hello, Welcome to i-cliniq.com. ' when 1 then ' bonjour bienvenue sur icliniq! ' else '' end || coalesce(text, '') as t from documents),
 y as (select doc_id, regexp_replace(t, '(?i)^\s*(?:{GREETING})?\s*[!,.\s]*(?:welcome|bienvenue)\s+(?:to|sur|au|à|a)\s+(?:{SITE})(?:\.com)?\s*[.!,]?\s*', '') as t from x) select doc_id, {STRIP.format('t')} as t from y""")
 def opener_strip(spark, d):
     head = F.when(F.col("doc_id") % 3 == 0, "Hello, Welcome to i-cliniq.com. ").when(F.col("doc_id") % 3 == 1, " bonjour bienvenue sur icliniq! ").otherwise("")

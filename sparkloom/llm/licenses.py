@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +43,7 @@ TAG = "spdx-license-identifier:"
 WEIGHTS = {"base": 0.9, "notice": 0.7, "tag": 0.95, "broken": 0.4}
 # What is no word turns into a blank, byte by byte in UTF-8; A-Z into a-z
 _BYTES = bytes((b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20) for b in range(256))
-_LEXEME = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_LEXEME = re.compile(r"[^\S\n]*(\(|\)|[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -52,57 +52,82 @@ def label_of(identifier: str) -> str | None:
     return next((IDENTIFIERS[k] for k in sorted(IDENTIFIERS, key=len, reverse=True) if low.startswith(k)), None)
 
 
-def read_expression(text: str) -> tuple[list[frozenset[str]], bool]:
-    """Alternatives of a licence expression, each the set of identifiers (with exceptions) to comply with together.
+def _lexemes(text: str, at: int) -> list[str]:
+    """The lexemes of the longest well-formed beginning of a line, from `at`. What follows it is prose, and the beginning may be empty.
 
-    Two stacks hold operands and operators; `with` binds tighter than `and`,
-    `and` than `or`. Also says whether the whole was well formed; what can't be
-    read gives no alternatives.
+    It is well formed wherever an operand has ended and all brackets are closed;
+    `with` stands between a licence and an exception, both bare.
     """
-    operands: list[list[frozenset[str]]] = []
-    pending: list[str] = []
+    out: list[str] = []
+    whole = depth = 0
+    wants, bare, excepted = True, False, False  # an operand or bracket; was the last operand an identifier; is it an exception
+    while m := _LEXEME.match(text, at):
+        x, at = m[1], m.end()
+        low = x.lower()
+        if x == "(" and wants and out[-1:] != ["with"]:
+            depth += 1
+        elif x == ")" and not wants and depth:
+            depth, bare = depth - 1, False
+        elif low in _RANK and not wants and (low != "with" or (bare and not excepted)):
+            x, wants = low, True
+        elif wants and x not in "()" and low not in _RANK:
+            wants, bare, excepted = False, True, out[-1:] == ["with"]
+        else:
+            break
+        out.append(x)
+        if not wants and not depth:
+            whole = len(out)
+    return out[:whole]
+
+
+def read_expression(text: str, at: int = 0) -> list[str]:
+    """The longest well-formed licence expression that the text has at `at`, in postfix order; empty if there is none.
 
-    def reduce() -> None:
-        op = pending.pop()
-        right, left = operands.pop(), operands.pop()
-        if op == "or":
-            operands.append(list(dict.fromkeys(left + right)))
-        elif op == "and":
-            operands.append(list(dict.fromkeys(a | b for a in left for b in right)))
+    Shunting yard: operators wait on a stack; `with` binds tighter than `and`,
+    `and` than `or`. Nothing is multiplied out, so any expression is read whole.
+    """
+    out: list[str] = []
+    pending: list[str] = []
+    for x in _lexemes(text, at):
+        if x == "(":
+            pending.append(x)
+        elif x == ")":
+            while pending[-1] != "(":
+                out.append(pending.pop())
+            pending.pop()
+        elif x in _RANK:
+            while pending and pending[-1] != "(" and _RANK[pending[-1]] >= _RANK[x]:
+                out.append(pending.pop())
+            pending.append(x)
+        else:
+            out.append(x)
+    return out + pending[::-1]
+
+
+def rendered(postfix: list[str]) -> str:
+    """The expression with the brackets it needs."""
+    done: list[tuple[list[str], int]] = []
+    for x in postfix:
+        if x not in _RANK:
+            done.append(([x], 4))
+            continue
+        (right, r), (left, k) = done.pop(), done.pop()
+        sides = [["(", *side, ")"] if rank < _RANK[x] else side for side, rank in ((left, k), (right, r))]
+        sides[0] += [f" {x} ", *sides[1]]
+        done.append((sides[0], _RANK[x]))
+    return "".join(done[0][0]) if done else ""
+
+
+def satisfied(postfix: list[str], accepted: Callable[[str], bool]) -> bool:
+    """Whether accepted licences alone meet the expression. A licence with an exception is accepted if the licence is."""
+    done: list[bool] = []
+    for x in postfix:
+        if x not in _RANK:
+            done.append(accepted(x))
         else:
-            if len(left) != 1 or len(right) != 1 or len(left[0]) != 1 or len(right[0]) != 1:
-                raise ValueError("with takes one licence and one exception")
-            operands.append([frozenset({f"{min(left[0])} with {min(right[0])}"})])
-
-    wants = True  # an operand or an opening bracket
-    try:
-        for x in _LEXEME.findall(text):
-            low = x.lower()
-            if low in _RANK and not wants:
-                while pending and pending[-1] != "(" and _RANK[pending[-1]] >= _RANK[low]:
-                    reduce()
-                pending.append(low)
-                wants = True
-            elif x == "(" and wants:
-                pending.append(x)
-            elif x == ")" and not wants:
-                while pending[-1] != "(":
-                    reduce()
-                pending.pop()
-            elif wants and x not in "()" and low not in _RANK:
-                operands.append([frozenset({x})])
-                wants = False
-            else:
-                raise ValueError(x)
-            if max(map(len, operands), default=0) > 256:
-                raise ValueError("too many alternatives")
-        while pending:
-            reduce()
-        if len(operands) != 1 or wants:
-            raise ValueError("incomplete")
-    except (ValueError, IndexError):
-        return [], False
-    return operands[0], True
+            right, left = done.pop(), done.pop()
+            done.append(left if x == "with" else left and right if x == "and" else left or right)
+    return bool(done) and done[0]
 
 
 class Scanner:
@@ -135,11 +160,10 @@ class Scanner:
         expressions = []
         low = raw.lower().decode()  # A-Z only, so places stay the same
         for end, _ in self.tags.iter(low):
-            rest = (text or "")[end + 1 :].split("\n", 1)[0].split("*/", 1)[0].split("-->", 1)[0]
-            ways, good = read_expression(rest)
-            expressions.append(" or ".join(" and ".join(sorted(w)) for w in ways) if good else "")
-            kinds.append("tag" if good else "broken")
-            labels |= {x for w in ways for i in w if (x := label_of(i))}
+            postfix = read_expression(text or "", end + 1)
+            expressions.append(rendered(postfix))
+            kinds.append("tag" if postfix else "broken")
+            labels |= {x for i in postfix if i not in _RANK and (x := label_of(i))}
         doubt = 1.0
         for k in kinds[:1000]:  # beyond that, doubt is nil in floating point
             doubt *= 1 - WEIGHTS[k]
@@ -154,7 +178,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions (array, one for each identifier tag).
 
     Null and empty texts have no words, no labels, null places and score 0. A tag
-    whose expression can't be read gives an empty expression. Rows stay one for one.
+    gives the longest expression that is well formed from its colon on, on its
+    line; prose may follow, and an empty one means that there was none. Rows stay one for one.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

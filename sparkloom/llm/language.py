@@ -23,14 +23,15 @@ from .common import small_batches, written
 #: Labelled texts for each language (those of smallest hash); cells of the trigram tables, and in all languages' tables together.
 SAMPLE_ROWS, CELLS = 1_500, 1 << 15
 ALL_CELLS = 64 * CELLS
-#: Trigrams overlap, so their sum is tempered; and a text counts for so many trigrams at most.
+#: Trigrams overlap, so their sum is tempered; and it weighs as that of so many trigrams at most, so that a long text can't outvote all else (a parameter; README has figures without).
 TEMPER, MOST_GRAMS = 0.3, 400
 #: Pseudo-counts: of a language given a declaration or suffix, of the domain in a host, of all pages in a domain.
 SMOOTH, HOST_WEIGHT, DOMAIN_WEIGHT = 1.0, 10.0, 50.0
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|head|nav|footer|aside|form)\b.*?</\1\s*>|<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
-_FIRST = re.compile(r"(?is)<!--.*?(?:-->|\Z)|(<html\b[^>]*)")
+_FIRST = re.compile(r"""(?is)<!--.*?(?:-->|\Z)|<html(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)""")
+_ATTRIBUTE = re.compile(r"""(?s)([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_CODE = re.compile(r"(?i)[a-z]{2,3}(?![a-z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -39,9 +40,11 @@ def visible(html: str | None) -> str:
 
 
 def declared(html: str | None) -> str:
-    tag = next((m[1] for m in _FIRST.finditer(html or "") if m[1]), "")  # the first that stands in no comment
-    m = _LANG.match(tag)
-    return m[1].lower() if m else ""
+    """The primary code in the attribute `lang` of the first html tag that stands in no comment; else ''."""
+    tag = next((m[1] for m in _FIRST.finditer(html or "") if m[1] is not None), "")
+    said = next((m[2] or "" for m in _ATTRIBUTE.finditer(tag) if m[1].lower() == "lang"), "")
+    code = _CODE.match(said.strip("\"'").strip())
+    return code[0].lower() if code else ""
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -55,18 +58,19 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def train_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of trigrams, from at most `rows` labelled texts of each language. Many languages share fewer cells each."""
+    """Languages and log-probabilities of trigrams, from about `rows` distinct labelled texts of each language. Many languages share fewer cells each."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = known.groupBy(lang_col).count().collect()
+    found = known.groupBy(lang_col).agg(F.approx_count_distinct(F.xxhash64(text_col)).alias("n")).collect()
     langs = sorted(r[0] for r in found)
     if not langs:
         return ["und"], np.full((1, CELLS), -np.log(CELLS))
     size = CELLS  # a power of two
     while size > 1 << 10 and size * len(langs) > ALL_CELLS:
         size //= 2
-    # A share of each language by hash that holds about `rows` texts: no sort and no window over the corpus
-    share = F.create_map(*(x for r in found for x in (F.lit(r[0]), F.lit(min(1.0, rows / r["count"])))))
-    picked = known.where((F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < F.element_at(share, F.col(lang_col)) * (1 << 20))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # A share of each language by hash that holds about `rows` texts: no sort and no window over the corpus. Copies count once.
+    share = F.create_map(*(x for r in found for x in (F.lit(r[0]), F.lit(1.0 if r["n"] <= rows else rows / r["n"]))))
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    picked = known.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -83,7 +87,7 @@ def train_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return langs, np.log(table / table.sum(1, keepdims=True))
 
 
-def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url_col: str, html_col: str, keep: list[str]) -> DataFrame:
+def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str, url_col: str, html_col: str, most: float) -> DataFrame:
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(table.astype(np.float32))  # at most ALL_CELLS, or 1,024 for each language
     fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col)]
@@ -95,7 +99,7 @@ def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col
             for html in b.column(2).to_pylist():
                 cells = trigrams(visible(html)) % t.shape[1]
                 n = len(cells)
-                logs.append((t[:, cells].sum(1).astype(float) * (TEMPER * min(1.0, MOST_GRAMS / n))).tolist() if n else [0.0] * len(langs))
+                logs.append((t[:, cells].sum(1).astype(float) * (TEMPER * min(1.0, most / n))).tolist() if n else [0.0] * len(langs))
                 said.append(declared(html))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(logs, pa.list_(pa.float64()))], names=[id_col, url_col, "declared", "text_log"])
 
@@ -122,10 +126,10 @@ def _given(counts: DataFrame, key: str, name: str, totals: Column, kinds: Column
     return counts.select(key, F.zip_with(counts["v"], totals, lambda c, t: F.log((c + SMOOTH) / (t + SMOOTH * kinds))).alias(name))
 
 
-def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang", text_col: str = "text", most: float = MOST_GRAMS) -> DataFrame:
     """Per row of pages: id, url, host, declared, text_lang, lang, score (posterior of lang).
 
-    docs gives labelled texts. Null html counts as empty: the text then says
+    docs gives labelled texts; a page's text weighs as `most` trigrams at most (inf: all of them). Null html counts as empty: the text then says
     nothing (text_lang null) and the other evidence decides. Null urls share the
     host ''. Ties go to the language first in the alphabet. Rows stay one for one.
     Host and suffix tables are joined, not broadcast by force, so Spark picks by
@@ -134,7 +138,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     small_batches(pages.sparkSession)
     langs, table = train_text(docs, lang_col, text_col)
     n = len(langs)
-    first = _text_evidence(pages, langs, table, id_col, url_col, html_col, [])
+    first = _text_evidence(pages, langs, table, id_col, url_col, html_col, most)
     best = F.array_max("text_log")
     seen = first.withColumns({
         "host": _host(F.col(url_col)), "suffix": _suffix(F.col(url_col)),

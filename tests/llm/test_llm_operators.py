@@ -215,6 +215,7 @@ def test_components(spark):
 
 def test_cover_tree(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "BLOCK", 40)
+    monkeypatch.setattr(cover_tree, "CELL", 10)
     monkeypatch.setattr(cover_tree, "LEAF", 4)
     r = np.random.default_rng(3)
     centres = r.normal(size=(6, 8))

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Most centres, each with more than this share of all links' ends, and the parts that the links of one are dealt into.
+CENTRES, SALTS = 256, 64
+
 
 def _stamp(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
     return r["n"], r["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+    # A node with more than its share of the links is a centre; there are CENTRES at most, and the links of each are dealt into SALTS parts
+    centres = [r["u"] for r in low.where(F.col("degree") * CENTRES > 2 * links).select("u").collect()] if links > SALTS else []
+    hot = F.col("u").isin(centres) if centres else F.lit(False)
+    salted = both.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0))
+    spread = low.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).withColumn("salt", F.col("salt").cast("bigint"))
+    return salted.where("v > u").join(spread, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,13 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and nulls are dropped. A round replaces each node's edges by a star
     around the smallest node near it; it ends when nothing changes. Stars are
-    found by grouped minima (summed before the shuffle) and plain joins that can
-    be split, so no task needs a whole component.
+    found by grouped minima (summed before the shuffle) and joins in which the
+    links of a large star are dealt into parts, so no task needs a whole component.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     was = _stamp(now)
     while was[0]:
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(_large_star(now, was[0])), "edges")
         stamp = _stamp(now)
         if stamp == was:
             break

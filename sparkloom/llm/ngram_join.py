@@ -6,7 +6,8 @@ single shingles finds the pair. If it is frequent, then all they share are
 frequent, and prefixes extended by one share two of them: for frequent shingles
 pairs are indexed, within classes of size. Candidates are thinned by size, place
 in the prefix and a bit table of a quarter of the shingles, gathered into
-clusters, and verified on the sets themselves, block against block.
+clusters, and verified on the sets themselves: first with the centre of their
+cluster, then block against block for what doesn't link with it.
 
 Documents with equal sets are one node throughout. Only what connects is kept:
 the results are components, so a dense group needs no list of its pairs.
@@ -42,12 +43,16 @@ KEYS_HELD = 500_000
 
 @dataclass(frozen=True)
 class Rule:
-    """Sets link when den * |intersection| >= num * |union|."""
+    """Sets link when den * |intersection| >= num * |union|. Above a half, so that different sets that link share two shingles at least."""
 
     words: int = 5
     num: int = 80
     den: int = 100
 
+    def __post_init__(self) -> None:
+        if not 0 < self.den < 2 * self.num <= 2 * self.den or self.words < 1:
+            raise ValueError("the similarity has to lie above a half and at 1 at most, and shingles need a word")
+
     def least(self, n: np.ndarray | int):  # noqa: ANN201
         """Fewest shingles that a set of n shares with any partner."""
         return -((-self.num * n) // self.den)
@@ -414,6 +419,36 @@ def _verified(members: DataFrame, rule: Rule) -> DataFrame:
     return members.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(work, "u bigint, v bigint")
 
 
+def _links(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """u, v: what connects within the clusters (members: node, cluster, blocks, block).
+
+    First each block is compared with itself and with its cluster's centre (the
+    node it is named after), so a set is sent once. What links with the centre is
+    one component by then, and only sets outside it are compared further: with
+    each other, and with those inside. A group of copies around a centre costs as
+    much as it has members; no pair that may link is left out.
+    """
+    held = members.join(sets, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cluster", "blocks", "block", "shingles")))  # a set may come once from each task
+    held = written(held, "sets")
+    own = held.select("cluster", F.col("block").alias("p"), F.col("block").alias("q"), "node", "block", "shingles")
+    centre = held.where("node = cluster and blocks > 1").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), "node", F.col("block").alias("home"), "shingles").where("p <> home")
+    first = written(_verified(own.union(centre.select("cluster", "p", F.col("p").alias("q"), "node", F.col("p").alias("block"), "shingles")), rule), "first_links")
+    labels = components(first)
+    each = lambda rows: rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")  # noqa: E731  so that joins deal a cluster by its blocks
+    wide = held.where("blocks > 1").select("node", "cluster", "blocks", "block", F.length("shingles").alias("bytes")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inner = each(wide.where("node = cluster").select("cluster", "blocks", F.col("component").alias("inner")))
+    wide = written(wide.join(inner, ["cluster", "block"]).withColumn("outside", F.col("component") != F.col("inner")), "labelled")
+    parts = wide.where("outside").groupBy("cluster").agg(F.first("blocks").alias("blocks"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / (8 * BLOCK_SHINGLES))).cast("int").alias("parts"))
+    left = wide.select("node", "cluster", "blocks", "block", "outside").join(each(parts), ["cluster", "block"])
+    # Blocks 0 to parts - 1 hold what is outside, the others what is inside; every pair of blocks but those of two inner ones
+    block = F.when(F.col("outside"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).otherwise(F.col("parts") + F.col("block"))
+    last = F.when(F.col("outside"), F.col("parts") + F.col("blocks") - 1).otherwise(F.col("parts") - 1)
+    left = written(left.select("node", "cluster", block.alias("block"), last.alias("last")), "left")
+    spread = left.join(held.select("node", "shingles"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rest = _verified(spread.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "shingles"), rule)
+    return first.union(written(rest, "other_links"))
+
+
 def _frequent(spark: SparkSession, table: DataFrame):  # noqa: ANN202
     blobs = table.where("kind = 1").select("slice", "part", "blob")
     counts = np.frombuffer(b"".join(_merged(blobs, "u4", np.add)), np.uint32) if blobs.limit(1).count() else np.zeros(COUNTERS, np.uint32)
@@ -443,10 +478,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = written(clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
     bloom = spark.sparkContext.broadcast(_bloom(members.select("node")))
-    # A set may come once from each task; the copies link with themselves only.
-    spread = members.join(_sets(docs, rule, bloom, text_col), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "shingles")
-    found = components(written(_verified(spread, rule), "links")).withColumnRenamed("component", "group")
+    found = components(_links(members, _sets(docs, rule, bloom, text_col), rule)).withColumnRenamed("component", "group")
     least = nodes.select("node", "least", "copies").join(found, "node", "left")
     named = least.where("group is not null").groupBy("group").agg(F.min("least").alias("name"))
     ids = least.join(named, "group", "left").where((F.col("copies") > 1) | F.col("group").isNotNull()).select("node", F.coalesce("name", "least").alias("name"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,13 +93,58 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     a = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(k, len(a))
+    return np.unique(_runs(a, min(k, len(a))))
+
+
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[65:91] += 32  # A-Z
+_BLANK = np.isin(np.arange(256), [0x20, *range(9, 14)])
+
+
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words that lower_words gives of each text of a column, one text after another; and where each text's begin, and the end."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    low, full = _BYTES[data], ~_BLANK[data]
+    begins = np.zeros(len(data) + 1, bool)  # of runs of blanks or of others; a text ends a run
+    begins[1:-1] = full[1:] != full[:-1]
+    begins[ends] = True
+    first = np.flatnonzero(begins[:-1] & full)
+    size = np.flatnonzero(begins[1:] & full) + 1 - first
+    places = np.append(0, np.cumsum(size))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(low[full])]).dictionary_encode()
+    return coded, np.searchsorted(first, ends)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """shingle_hashes of each text of a column; words are split, coded and hashed for all of it at once."""
+    coded, begins = words_of(texts)
+    known = np.fromiter(map(_WORDS.__getitem__, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    a = known[coded.indices.to_numpy()]
+    whole = _runs(a, k)
+    for start, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        if end - start >= k:
+            h = np.sort(whole[start : end - k + 1])
+            fresh = np.ones(len(h), bool)
+            np.not_equal(h[1:], h[:-1], out=fresh[1:])
+            yield h[fresh]
+        else:
+            yield _runs(a[start:end], end - start)
+
+
+def _runs(a: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, from the words' hashes."""
     size = len(a) - n + 1
+    if n < 1 or size < 1:
+        return np.empty(0, np.uint64)
     h = np.full(size, np.uint64(n))
     with np.errstate(over="ignore"):
         for j in range(n):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + a[j : j + size])
-    return np.unique(h)
+    return h
 
 
 def set_print(hashes: np.ndarray) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _mix, set_print, shingle_hashes, small_batches, written
+from .common import _mix, set_print, shingle_sets, small_batches, written
 from .graph import components
 
 #: Counters of the frequency table (4 MB whatever the input) and the parts it is merged in.
@@ -154,8 +154,7 @@ def _prints(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFram
         ids_type = None
         for b in batches:
             sizes, nodes, marks, fresh = [], [], [], []
-            for text in b.column(1).to_pylist():
-                h = shingle_hashes(text, rule.words)
+            for h in shingle_sets(b.column(1), rule.words):
                 node = set_print(h) if len(h) else None
                 sizes.append(len(h))
                 nodes.append(node)
@@ -183,8 +182,7 @@ def _index(docs: DataFrame, rule: Rule, frequent, text_col: str) -> DataFrame:
         table, seen, held = np.frombuffer(frequent.value, bool), set(), {}
         for b in batches:
             keys, nodes, sizes, places, kinds = [], [], [], [], []
-            for text in b.column(0).to_pylist():
-                h = shingle_hashes(text, rule.words)
+            for h in shingle_sets(b.column(0), rule.words):
                 n = len(h)
                 if not n or (node := set_print(h)) in seen:
                     continue
@@ -241,8 +239,7 @@ def _sets(docs: DataFrame, rule: Rule, bloom, text_col: str) -> DataFrame:  # no
         table, seen = np.frombuffer(bloom.value, np.uint8), set()
         for b in batches:
             nodes, sets = [], []
-            for text in b.column(0).to_pylist():
-                h = shingle_hashes(text, rule.words)
+            for h in shingle_sets(b.column(0), rule.words):
                 if not len(h) or (node := set_print(h)) in seen:
                     continue
                 seen.add(node)

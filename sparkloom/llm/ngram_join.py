@@ -472,8 +472,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     edges = written(_likely(pairs.where("not sure").select("u", "v"), nodes, rule).union(pairs.where("sure").select("u", "v")), "likely")
     clusters = components(edges).select("node", F.col("component").alias("cluster"))
     inside = clusters.join(nodes.select("node", "n"), "node")
-    sizes = inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = written(clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    # Written, so that its join can be split where a cluster is large; clusters of one block aren't in it
+    sizes = written(inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1"), "sizes")
+    blocks = F.coalesce("blocks", F.lit(1))
+    members = written(clusters.join(sizes, "cluster", "left").select("node", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "members")
     bloom = spark.sparkContext.broadcast(_bloom(members.select("node")))
     found = components(_links(members, _sets(docs, rule, bloom, text_col), rule)).withColumnRenamed("component", "group")
     least = nodes.select("node", "least", "copies").join(found, "node", "left")

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keys that may hold the reasoning, in order (a parameter; the first is the expected one)
-THINK_KEYS = ("think", "thinking", "reasoning", "chain_of_thought", "cot", "rationale")
+# Keys that may hold the reasoning, in order; the first is the expected one
+THINK_KEYS = ("think", "reasoning", "thinking", "thought", "analysis", "rationale")
 LIST_KEYS = ("data", "translations", "results", "items")
 
 

@@ -46,3 +46,14 @@ def rejected(items: DataFrame, criteria: tuple[str, ...] = ("c1", "c2", "c3")) -
     for c in criteria:
         bad = bad | F.coalesce(F.col(c) == 0, F.lit(False))
     return items.where(bad)
+
+
+def overall(criteria: DataFrame, target: float = 0.65) -> DataFrame:
+    """One row: the mean of the criteria's mean kappas that aren't null, to 3 places, and whether it meets the target (judged before rounding; null if there is none)."""
+    return criteria.agg(F.avg("mean_kappa").alias("m")).select(F.round("m", 3).alias("mean_kappa"), (F.col("m") >= target).alias("passed"))
+
+
+def rates(accepted: DataFrame, criteria: tuple[str, ...] = ("c1", "c2", "c3")) -> DataFrame:
+    """acceptance() with the percentage that passed each criterion and that was rejected."""
+    share = lambda c: 100 * F.col(c) / F.greatest(F.lit(1), F.col("n"))
+    return accepted.withColumns({f"{c}_pct": share(f"{c}_pass") for c in criteria} | {"rejected_pct": share("n_rejected")})

@@ -65,6 +65,32 @@ def split_done(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return df.where(full), df.where(~full)
 
 
+def pair_key(pair_id: str = "pair_id", question: str = "question_en", n: int = 200) -> Column:
+    """The id as text, or without one (null, empty or 0) the question's first n characters."""
+    own = F.col(pair_id).cast("string")
+    return F.when(~F.coalesce(own, F.lit("")).isin("", "0"), own).otherwise(F.substring(F.coalesce(F.col(question), F.lit("")), 1, n))
+
+
+def allowed(df: DataFrame, col: str, values: Sequence[str] | None = None, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """Rows whose value is on the allow-list (None: all), and the first `limit` of them in order."""
+    out = df if values is None else df.where(F.col(col).isin(list(values)))
+    return out if not limit else out.orderBy(order or col).limit(limit)
+
+
+def answered(requests: DataFrame, batch: str, position: str, items: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Requests with the items of their batch's response (batch, items: array of structs with `id` and cols).
+
+    An item without an id counts by its position; of several with one id the last
+    counts. Missing fields give '', or for the columns `keep` what the request has.
+    """
+    each = items.select(batch, F.posexplode("items").alias("__at", "__item")).where("__item is not null")
+    each = each.select(batch, F.coalesce(F.col("__item.id").cast("long"), F.col("__at").cast("long")).alias(position), "__at", *(F.col(f"__item.{c}").alias(f"__{c}") for c in cols))
+    last = each.groupBy(batch, position).agg(*(F.max_by(f"__{c}", "__at").alias(f"__{c}") for c in cols))
+    out = requests.withColumn(position, F.col(position).cast("long")).join(last, [batch, position], "left")
+    own = lambda c: F.coalesce(F.col(c), F.lit("")) if c in keep else F.lit("")
+    return out.withColumns({c: F.coalesce(f"__{c}", own(c)) for c in cols}).drop(*(f"__{c}" for c in cols))
+
+
 def match_by_id(requests: DataFrame, responses: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Requests with the response of the same batch and id; '' where there is none."""
     return requests.join(responses, list(keys), "left").fillna("", list(cols))

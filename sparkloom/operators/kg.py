@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,6 +83,36 @@ def drug_vocabulary(node_table: DataFrame, least: int = 4) -> DataFrame:
     return node_table.where((F.col("type") == "drug") & (F.length("label") >= least)).select(F.lower("label").alias("drug")).distinct()
 
 
+def endpoint(kind: Column | str, label: Column | str) -> Column:
+    """The string id of a node."""
+    return F.concat_ws(":", kind, label)
+
+
+def node_link_file(node_table: DataFrame, edge_table: DataFrame, path: str) -> None:
+    """One node-link JSON document, streamed line by line into one file; a graph needn't fit one row."""
+    part = lambda df, n, kind: df.select(F.lit(n).alias("n"), F.to_json(F.struct(*kind)).alias("value"))
+    _lines(node_table.sparkSession, [
+        ('{"nodes": [', part(node_table, 0, ("id", "label", "type"))), ('], "edges": [', part(edge_table, 1, ("source", "target", "key", "relation"))), ("]}", None),
+    ], path, ",")
+
+
+def graphml_file(node_table: DataFrame, edge_table: DataFrame, path: str) -> None:
+    """One GraphML document, streamed line by line into one file."""
+    head = '<?xml version="1.0" encoding="utf-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><key id="type" for="node" attr.name="type" attr.type="string"/><key id="relation" for="edge" attr.name="relation" attr.type="string"/><graph edgedefault="directed">'
+    _lines(node_table.sparkSession, [(head, graphml(node_table, edge_table).select(F.col("part").alias("n"), "value")), ("</graph></graphml>", None)], path, "")
+
+
+def _lines(spark: SparkSession, parts: list[tuple[str, DataFrame | None]], path: str, comma: str) -> None:
+    out = None
+    for k, (head, rows) in enumerate(parts):
+        line = spark.createDataFrame([(2 * k, 0, head, True)], "k int, n int, value string, bare boolean")
+        both = line if rows is None else line.union(rows.select(F.lit(2 * k + 1), "n", "value", F.lit(False)))
+        out = both if out is None else out.union(both)
+    nearest = F.lead("bare").over(W.orderBy("k", "n", "value"))
+    value = F.when(F.col("bare") | nearest, F.col("value")).otherwise(F.concat("value", F.lit(comma)))
+    out.select("k", "n", "value", value.alias("line")).coalesce(1).sortWithinPartitions("k", "n", "value").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
 def node_link_json(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """JSON lines, one for each node or edge, in the fields of a node-link file; a graph needn't fit one row."""
     n = node_table.select(F.lit("nodes").alias("part"), F.to_json(F.struct("id", "label", "type")).alias("value"))

@@ -23,14 +23,14 @@ def entities(x: Column | str, drugs: Sequence[str] = (), symptoms: dict = L.SYMP
     """struct of sorted distinct drugs, symptoms, exams and dosages."""
     return F.struct(
         drugs_in(x, drugs).alias("drugs"), F.array_sort(T.groups_in(x, symptoms)).alias("symptoms"),
-        F.array_sort(T.groups_in(x, exams)).alias("exams"), F.array_sort(T.answer_dosages(x)).alias("dosages"),
+        F.array_sort(T.groups_in(x, exams)).alias("exams"), F.array_sort(F.array_distinct(F.transform(T.answer_dosages(x), T.normalize))).alias("dosages"),
     )
 
 
 def recall(pred: str, ref: str) -> Column:
-    """For each category the share of the reference's entities that the prediction has (null if it has none); macro is the mean of those that aren't null, 0 if all are."""
+    """For each category the share of the reference's entities that the prediction has (null if it has none); macro is the mean of those of drugs, symptoms and exams that aren't null, 0 if all are."""
     per = {c: F.try_divide(F.size(F.array_intersect(f"{pred}.{c}", f"{ref}.{c}")), F.size(f"{ref}.{c}")) for c in CATEGORIES}
-    some = F.filter(F.array(*per.values()), lambda x: x.isNotNull())
+    some = F.filter(F.array(*(per[c] for c in CATEGORIES[:3])), lambda x: x.isNotNull())
     macro = F.coalesce(F.try_divide(F.aggregate(some, F.lit(0.0), lambda s, x: s + x), F.size(some)), F.lit(0.0))
     return F.struct(*(v.alias(k) for k, v in per.items()), macro.alias("macro"))
 
@@ -86,3 +86,21 @@ def breakdown(scored: DataFrame, least: int = 3) -> DataFrame:
     out = sets.agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), mean("recall"), mean("hallucination"), mean("hit"))
     level = F.when(F.col("gid") == 3, "all").when(F.col("gid") == 1, "lang").otherwise("pathology")
     return out.withColumn("level", level).where((F.col("level") != "pathology") | (F.col("n") >= least)).select("level", F.coalesce("lang", "pathology", F.lit("all")).alias("value"), "n", "recall", "hallucination", "hit")
+
+
+def aggregate(scored: DataFrame) -> DataFrame:
+    """One row: the twelve macro metrics and how many answers name a dosage that the reference lacks.
+
+    scored: rec and hal (of recall and hallucination), hit (null doesn't count) and
+    cites (whether the answer cites anything). Means of nothing are 0.
+    """
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return scored.agg(
+        F.count("*").alias("n"), *(mean(f"rec.{c}").alias(f"recall_{c}") for c in (*CATEGORIES[:3], "macro")), *(mean(f"hal.{c}").alias(f"hallu_{c}") for c in (*CATEGORIES, "macro")),
+        mean("hit").alias("hit_at_k"), (F.count_if("cites") / F.greatest(F.lit(1), F.count("*"))).alias("citations_share"), F.count_if(F.col("hal.dosages") > 0).alias("n_dosage_hallu"),
+    )
+
+
+def invented_dosages(scored: DataFrame) -> DataFrame:
+    """The answers that name a dosage which the reference lacks."""
+    return scored.where(F.col("hal.dosages") > 0)

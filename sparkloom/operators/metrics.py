@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+def demo_runs(models: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Each model with each prompt. Both are short lists given by hand, so their product is too."""
+    return models.crossJoin(F.broadcast(prompts))
+
+
 def token_prf(pred: str, ref: str) -> Column:
     """Precision, recall and F1 of the sets of blank-separated tokens; zeros if either is empty."""
     p, r = (F.array_distinct(F.filter(F.split(T.strip(F.lower(F.coalesce(c, F.lit("")))), r"(?U)\s+"), lambda x: x != "")) for c in (pred, ref))

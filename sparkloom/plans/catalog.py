@@ -94,10 +94,15 @@ def qc_funnel(spark, d):
     return quality.funnel(c, kept).withColumn("keep_rate", F.round("keep_rate", 6))
 
 
-@query()
+@query(f"""with {REASONS}, k as (select *, row_number() over (partition by lower(substring(question, 1, 100)) order by pair_id) as r from c where reason = 'ok'),
+h as (select specialty, string_agg(reason || '=' || n, ',' order by reason) as rejections from (select specialty, reason, count(*) as n from c where reason <> 'ok' group by all) group by 1)
+select specialty, count(*)::bigint as input, count(case when c.reason = 'ok' then 1 end)::bigint as kept_after_filter, count(case when k.r = 1 then 1 end)::bigint as kept_after_dedup,
+round(100.0 * count(case when k.r = 1 then 1 end) / greatest(1, count(*)), 6)::double as keep_rate, any_value(h.rejections) as rejections from c left join (select pair_id, r from k) k using (pair_id) left join h using (specialty) group by specialty""")
 def qc_report(spark, d):
     c = _checked(spark, d)
-    return quality.report(c, dedup.first_wins(c.where("reason = 'ok'"), T.prefix_key("question"), ["pair_id"]))
+    out = quality.report(c, dedup.first_wins(c.where("reason = 'ok'"), T.prefix_key("question"), ["pair_id"]))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("rejections")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.withColumn("keep_rate", F.round("keep_rate", 6)).withColumn("rejections", F.when(F.col("rejections").isNotNull(), listed))
 
 
 @query(f"with {PAIRS} select pair_id, round({_ASCII.format('answer')}, 6)::double as ascii_ratio, round({_ARABIC.format('answer')}, 6)::double as arabic_ratio from p")
@@ -486,12 +491,6 @@ def answer_format(spark, d):
     return t.select("doc_id", T.extract_answer("t").alias("answer"), T.format_reward("t").alias("form"))
 
 
-@query()
-def chunker(spark, d):
-    docs = _read(spark, d, "documents")
-    return docs.select("doc_id", F.posexplode(T.chunks("text", 350, hard=True)).alias("pos", "chunk"))
-
-
 @query()
 def diagnosis_hits(spark, d):
     t = turns(spark, d)
@@ -522,7 +521,7 @@ def response_match(spark, d):
 
 
 def _register() -> None:
-    from . import catalog_rows  # noqa: F401  its queries register themselves and use the views above
+    from . import catalog_more, catalog_rows  # noqa: F401  their queries register themselves and use the views above
 
 
 def queries() -> dict[str, Query]:

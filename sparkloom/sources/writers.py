@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,6 +14,15 @@ def json_by_key(df: DataFrame, path: str, key: str = "specialty_id") -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
+def json_arrays(df: DataFrame, path: str, key: str = "specialty_id", order: str | None = None) -> None:
+    """One file with one JSON array in a folder for each key, non-ASCII characters as they are. Rows are sorted by `order` and written line by line, so that no array is held."""
+    row = F.to_json(F.struct(*(c for c in df.columns if c != key)), {"ignoreNullFields": "false"})
+    at = W.partitionBy(key).orderBy(order or F.lit(0))
+    lines = df.withColumns({"__n": F.row_number().over(at), "__next": F.lead(F.lit(1)).over(at), "__row": row})
+    value = F.concat(F.when(F.col("__n") == 1, "[").otherwise(""), "__row", F.when(F.col("__next").isNull(), "]").otherwise(","))
+    lines.select(key, "__n", value.alias("value")).sortWithinPartitions(key, "__n").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
 def splits(df: DataFrame, path: str, col: str = "split") -> None:
     """Parquet in a folder for each split."""
     df.write.mode("overwrite").partitionBy(col).parquet(path)

@@ -13,7 +13,8 @@ def resume(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     """Work off new files of a folder: accepted rows go to sink/accepted, others to sink/rejected.
 
     Rows whose key was accepted before are left out, and so are repeats within a
-    batch, so repeated batches add nothing. Without an interval it ends when all
+    batch. Each batch has folders of its own (column __batch), which a batch that
+    is run again replaces, so it adds nothing. Without an interval it ends when all
     files are read.
     """
 
@@ -24,9 +25,9 @@ def resume(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
         except Exception as e:  # noqa: BLE001  the first batch finds no folder
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        out = work(df.dropDuplicates([key])).withColumns({"__good": good, "__batch": F.lit(n)}).persist()
-        out.where("__good").drop("__good").write.mode("append").parquet(f"{sink}/accepted")
-        out.where("not coalesce(__good, false)").drop("__good").write.mode("append").parquet(f"{sink}/rejected")
+        out = work(df.dropDuplicates([key])).withColumn("__good", good).persist()
+        for folder, rows in (("accepted", out.where("__good")), ("rejected", out.where("not coalesce(__good, false)"))):
+            rows.drop("__good").write.mode("overwrite").parquet(f"{sink}/{folder}/__batch={n}")
         out.unpersist()
 
     stream = spark.readStream.schema(schema).format(form).load(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 #: Most bytes of an Arrow batch handed to Python (a longer row goes alone).
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
+#: Bytes of texts whose words are worked on at once.
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,25 +58,40 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
-    """df with columns under names that clash with nothing, the new name of each, and what gives the old ones back."""
-    names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
-    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names, [F.col(n).alias(c) for c, n in names.items()]
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
+def frugal(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, after which a Python worker, which lives on, gives free memory back to the machine."""
 
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
 
-class WordHashes(dict):
-    """64-bit hashes of words (UTF-8 bytes), remembered up to a bound."""
+    return run
 
-    LIMIT = 1_000_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The column in slices of `size` bytes or one text at most."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
-_WORDS = WordHashes()
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df with columns under names that clash with nothing, the new name of each, and what gives the old ones back."""
+    names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names, [F.col(n).alias(c) for c, n in names.items()]
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -92,7 +111,7 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    a = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    a = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     return np.unique(_runs(a, min(k, len(a))))
 
 
@@ -120,9 +139,14 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """shingle_hashes of each text of a column; words are split, coded and hashed for all of it at once."""
+    """shingle_hashes of each text of a column; words are split, coded and hashed for SLICE_BYTES of it at once."""
+    for some in slices(texts, SLICE_BYTES):
+        yield from _shingle_sets(some, k)
+
+
+def _shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     coded, begins = words_of(texts)
-    known = np.fromiter(map(_WORDS.__getitem__, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    known = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     a = known[coded.indices.to_numpy()]
     whole = _runs(a, k)
     for start, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):

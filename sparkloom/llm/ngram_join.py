@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _mix, set_print, shingle_sets, small_batches, written
+from .common import _mix, frugal, set_print, shingle_sets, small_batches, written
 from .graph import components
 
 #: Counters of the frequency table (4 MB whatever the input) and the parts it is merged in.
@@ -172,7 +172,7 @@ def _prints(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFram
             k = SLICES
             yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, ids_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([part] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"kind int, `{id_col}` {kind}, n bigint, node bigint, bits binary, part int, slice int, blob binary")
+    return docs.select(id_col, text_col).mapInArrow(frugal(work), f"kind int, `{id_col}` {kind}, n bigint, node bigint, bits binary, part int, slice int, blob binary")
 
 
 def _index(docs: DataFrame, rule: Rule, frequent, text_col: str) -> DataFrame:  # noqa: ANN001
@@ -229,7 +229,7 @@ def _index(docs: DataFrame, rule: Rule, frequent, text_col: str) -> DataFrame:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(cols, types, strict=True)], names=["key", "kind", "node", "n", "place"])
 
-    return docs.select(text_col).mapInArrow(work, "key bigint, kind int, node bigint, n int, place int")
+    return docs.select(text_col).mapInArrow(frugal(work), "key bigint, kind int, node bigint, n int, place int")
 
 
 def _sets(docs: DataFrame, rule: Rule, bloom, text_col: str) -> DataFrame:  # noqa: ANN001
@@ -249,7 +249,7 @@ def _sets(docs: DataFrame, rule: Rule, bloom, text_col: str) -> DataFrame:  # no
                     sets.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select(text_col).mapInArrow(work, "node bigint, shingles binary")
+    return docs.select(text_col).mapInArrow(frugal(work), "node bigint, shingles binary")
 
 
 def _bloom_places(nodes: np.ndarray) -> np.ndarray:
@@ -269,7 +269,7 @@ def _bloom(nodes: DataFrame) -> bytes:
         blobs = [_blob(x) for x in np.split(np.packbits(table, bitorder="little"), SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "part", "blob"])
 
-    return b"".join(_merged(nodes.mapInArrow(work, "slice int, part int, blob binary"), "u1", np.bitwise_or))
+    return b"".join(_merged(nodes.mapInArrow(frugal(work), "slice int, part int, blob binary"), "u1", np.bitwise_or))
 
 
 # Candidates
@@ -316,7 +316,7 @@ def _candidates(rows: DataFrame, rule: Rule) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64()), pa.array(list(out.values()), pa.bool_())], names=["u", "v", "sure"])
 
-    found = rows.repartition("key").sortWithinPartitions("key", "kind", "node").mapInArrow(work, "u bigint, v bigint, sure boolean")
+    found = rows.repartition("key").sortWithinPartitions("key", "kind", "node").mapInArrow(frugal(work), "u bigint, v bigint, sure boolean")
     return found.groupBy("u", "v").agg(F.max("sure").alias("sure"))
 
 
@@ -342,7 +342,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
     side = lambda k, name: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     joined = pairs.join(side("u", "u"), "u").join(side("v", "v"), "v").select("u", "v", "n_u", "bits_u", "n_v", "bits_v")
-    return joined.mapInArrow(work, "u bigint, v bigint")
+    return joined.mapInArrow(frugal(work), "u bigint, v bigint")
 
 
 # Verification
@@ -413,7 +413,7 @@ def _verified(members: DataFrame, rule: Rule) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return members.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(work, "u bigint, v bigint")
+    return members.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(frugal(work), "u bigint, v bigint")
 
 
 def _links(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:

@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import frugal, slices, small_batches, written
 
 WIDTH, END = 4096, 2
 #: Hashed vector, dimensions of the curve and bits of each.
 BUCKETS, DIMS, BITS = 256, 4, 10
 #: Words that a worker remembers; bytes of the texts it tokenises at once (a longer text goes alone).
-TABLE_WORDS, CHARS = 1_000_000, 1 << 23
+TABLE_WORDS, CHARS = 400_000, 1 << 21
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
@@ -205,16 +205,6 @@ def _keys(ids: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray, np.ndarr
     return hilbert_key(np.clip((spread + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS)
 
 
-def _few(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of so many texts that each has CHARS bytes or one text at most."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right")))
-        yield texts.slice(at, upto - at)
-        at = upto
-
-
 def _tokenised(docs: DataFrame, path: str | None, id_col: str, text_col: str, end: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -224,14 +214,14 @@ def _tokenised(docs: DataFrame, path: str | None, id_col: str, text_col: str, en
         tk, table = tokenizer(path or public_tokenizers.path("word_bpe_49k.json")), _projection()
         for b in batches:
             at = 0
-            for texts in _few(b.column(1)):
+            for texts in slices(b.column(1), CHARS):
                 ids, begins = tk.run(texts.to_pylist(), end)
                 blobs = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((begins * 2).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
                 own = b.column(0).slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(begins), pa.int64()), pa.array(_keys(ids, begins, table), pa.int64()), blobs], names=[id_col, "doc_tokens", "curve_key", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, doc_tokens bigint, curve_key bigint, ids binary").withColumn("row", F.monotonically_increasing_id())
+    return docs.select(id_col, text_col).mapInArrow(frugal(work), f"`{id_col}` {kind}, doc_tokens bigint, curve_key bigint, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,4 +281,4 @@ def pack(docs: DataFrame, path: str | None = None, width: int = WIDTH, end: int
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols, *([pa.array(pieces, pa.list_(pa.int32()))] if with_ids else [])], names=names)
 
     joined = table.select("row", id_col, "ids").join(begins, "row").select(id_col, "ids", "begin")
-    return joined.mapInArrow(work, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids).withColumnRenamed(id_col, name)
+    return joined.mapInArrow(frugal(work), f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids).withColumnRenamed(id_col, name)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_aside, small_batches, written
+from .common import frugal, set_aside, small_batches, written
 
 #: Labelled rows that the model is fitted on (those of smallest hash), the bound of all that the driver gets.
 SAMPLE_ROWS = 20_000
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["w", "toxic", "clean"])
 
-    counts = sample.mapInArrow(count, "w string, toxic bigint, clean bigint").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(frugal(count), "w string, toxic bigint, clean bigint").groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = written(counts, "token_counts")
     model, total = Model(), counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     if not total["toxic"] or not total["clean"]:
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             y, n, hits, segs = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.float64())), pa.array(segs, pa.list_(pa.float64()))], names=["y", "n", "hits", "segs"])
 
-    fit = sample.mapInArrow(scan, "y int, n bigint, hits array<double>, segs array<double>").toPandas()
+    fit = sample.mapInArrow(frugal(scan), "y int, n bigint, hits array<double>, segs array<double>").toPandas()
     clean = fit[fit["y"] == 0]
     total = max(int(clean["n"].sum()), 1)
     share = Counter(round(s, 1) for h in clean["hits"] for s in h)
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names=[*cols[: len(own)], "score", "predicted", "segments"],
             )
 
-    return docs.select(*cols).mapInArrow(work, ", ".join(fields[: len(kept) + with_text]) + ", score double, predicted int, segments array<struct<first: bigint, last: bigint, score: double, expected: double>>")
+    return docs.select(*cols).mapInArrow(frugal(work), ", ".join(fields[: len(kept) + with_text]) + ", score double, predicted int, segments array<struct<first: bigint, last: bigint, score: double, expected: double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ COMBINATIONS = 1024
 #: Documents and shingles of a block in verification; bits of the table of candidates.
 BLOCK_DOCS, BLOCK_SHINGLES, BLOOM_BITS = 96, 1 << 19, 1 << 25
 #: Keys of frequent shingles that a task remembers.
-KEYS_HELD = 500_000
+KEYS_HELD = 250_000
 
 
 @dataclass(frozen=True)

@@ -28,7 +28,7 @@ WIDTH, END = 4096, 2
 #: Hashed vector, dimensions of the curve and bits of each.
 BUCKETS, DIMS, BITS = 256, 4, 10
 #: Words that a worker remembers; bytes of the texts it tokenises at once (a longer text goes alone).
-TABLE_WORDS, CHARS = 400_000, 1 << 21
+TABLE_WORDS, CHARS = 200_000, 1 << 21
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 

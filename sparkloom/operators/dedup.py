@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,18 +63,28 @@ def shingle_pairs(df: DataFrame, by: str, id_col: str, text_col: str, k: int = 8
 def greedy(df: DataFrame, by: str, order: str, text_col: str, k: int = 8, threshold: float = 0.9, memory: int = 512) -> DataFrame:
     """Rows of each group, in order, that reach the threshold with none of the last `memory` kept.
 
-    The outcome depends on order, so a group is one sequential pass; the memory,
-    not the group, bounds what is compared.
+    The outcome depends on order, so a group is one sequential pass by nature. It is
+    read batch by batch from rows that Spark has sorted, so that a task holds the
+    shingles of `memory` rows and of a batch, however large the group is.
     """
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        kept: deque = deque(maxlen=memory)
-        keep = []
-        for s in p.sort_values(order, kind="stable")["__shingles"]:
-            s = frozenset(s)
-            keep.append(not any(len(s & t) >= threshold * len(s | t) for t in kept))
-            if keep[-1]:
-                kept.append(s)
-        return p.sort_values(order, kind="stable")[keep].drop(columns="__shingles")
-
-    return df.withColumn("__shingles", T.shingles(text_col, k)).groupBy(by).applyInPandas(one, df.schema)
+    columns = df.columns
+
+    def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, deque(maxlen=memory)
+        for p in batches:
+            keep = []
+            for g, s in zip(p["__group"], p["__shingles"], strict=True):
+                if g != group:
+                    group = g
+                    kept.clear()
+                s = frozenset(s)
+                keep.append(not any(len(s & t) >= threshold * len(s | t) for t in kept))
+                if keep[-1]:
+                    kept.append(s)
+            yield p.loc[keep, columns]
+
+    # groups by a text that null has too, as null equals itself here
+    group = F.to_json(F.struct(F.col(by).alias("g")))
+    hashes = F.transform(T.shingles(text_col, k), lambda s: F.xxhash64(s))
+    rows = df.withColumns({"__group": group, "__shingles": hashes})
+    return rows.repartition("__group").sortWithinPartitions("__group", order).mapInPandas(passes, df.schema)

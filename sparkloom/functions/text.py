@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 
-ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]"
+#: Of a character class
+ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}"
 
 
 def _c(x: Column | str) -> Column:
@@ -26,17 +26,22 @@ def truthy(*xs: Column | str) -> Column:
     return F.coalesce(*(F.nullif(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in xs), F.lit(""))
 
 
+def kept(x: Column, what: str) -> Column:
+    """How many characters of x are in the class: what is left once runs of others are taken out, which makes no array of finds."""
+    return F.length(F.regexp_replace(x, f"[^{what}]+", ""))
+
+
 def _share(x: Column | str, what: str) -> Column:
-    return F.coalesce(F.try_divide(F.regexp_count(_c(x), F.lit(what)), F.regexp_count(_c(x), F.lit(r"\p{L}"))), F.lit(0.0))
+    return let(F.regexp_replace(_c(x), r"\P{L}+", ""), lambda s: F.coalesce(F.try_divide(kept(s, what), F.length(s)), F.lit(0.0)))
 
 
 def arabic_ratio(x: Column | str) -> Column:
     """Arabic letters among the letters; 0 without letters."""
-    return _share(F.regexp_replace(_c(x), r"[^\p{L}]", ""), ARABIC)
+    return _share(x, ARABIC)
 
 
 def ascii_ratio(x: Column | str) -> Column:
-    return _share(x, "[A-Za-z]")
+    return _share(x, "A-Za-z")
 
 
 def words(x: Column | str) -> Column:
@@ -76,22 +81,25 @@ def md5_key(*xs: Column | str, sep: str = "", n: int = 32) -> Column:
     return F.substring(F.md5(F.concat_ws(sep, *(_c(x) for x in xs))), 1, n)
 
 
+def _any_in(low: Column, terms: Sequence[str]) -> Column:
+    """Whether a text holds any term: plain searches, which an alternation at each character costs more than."""
+    return F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(low, t)) if terms else F.lit(False)
+
+
 def contains_any(x: Column | str, terms: Sequence[str]) -> Column:
-    """Whether the lower-cased text holds any term: one alternation, compiled once."""
-    return F.lower(_c(x)).rlike("|".join(re.escape(t) for t in terms)) if terms else F.lit(False)
+    """Whether the lower-cased text holds any term."""
+    return let(F.lower(_c(x)), lambda low: _any_in(low, terms)) if terms else F.lit(False)
 
 
 def terms_in(x: Column | str, terms: Sequence[str]) -> Column:
     """The terms that the lower-cased text holds, in the order given."""
-    low = F.lower(_c(x))
-    return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(low, t))
+    return let(F.lower(_c(x)), lambda low: F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(low, t)))
 
 
 def groups_in(x: Column | str, groups: dict[str, Sequence[str]]) -> Column:
     """The names of groups of which the lower-cased text holds a term, in the order given."""
-    low = F.lower(_c(x))
-    found = [F.when(low.rlike("|".join(re.escape(t) for t in ts)), F.lit(name)) for name, ts in groups.items()]
-    return F.filter(F.array(*found), lambda t: t.isNotNull())
+    found = lambda low: F.array(*(F.when(_any_in(low, ts), F.lit(name)) for name, ts in groups.items()))
+    return F.filter(let(F.lower(_c(x)), found), lambda t: t.isNotNull())
 
 
 def looks_like_question(q: Column | str, openers: Sequence[str] = L.QUESTION_WORDS) -> Column:

@@ -13,27 +13,31 @@ from ..functions import text as T
 
 def reason(question: str = "question", answer: str = "answer", language: str = "language", lexicon: Sequence[str] = L.MEDICAL_TERMS, openers: Sequence[str] = L.QUESTION_WORDS, any_opener: bool = False) -> Column:
     """`ok`, or why a pair is rejected. Tests run in this order and the first that fails names the reason."""
-    q, a = T.strip(question), T.strip(answer)
-    nq, na = F.length(q), F.length(a)
     arabic = T.language_bucket(language) == "arabic"
-    out = (
-        F.when(~nq.between(L.MIN_QUESTION, L.MAX_QUESTION), F.concat(F.lit("q_len="), nq.cast("string")))
-        .when(~na.between(L.MIN_ANSWER, L.MAX_ANSWER), F.concat(F.lit("a_len="), na.cast("string")))
-        .when(a.rlike("(?iu)" + "|".join(L.REFUSALS)), "refusal_boilerplate")
-    )
-    if not any_opener:
-        out = out.when(~T.looks_like_question(q, openers), "not_a_question")
-    return (
-        out.when((T.sentence_count(a) < L.MIN_SENTENCES) & (na < L.THIN_ANSWER), "answer_too_thin")
-        .when(arabic & (T.arabic_ratio(q) < 0.5) & (T.arabic_ratio(a) < 0.5), "arabic_ratio_low")
-        .when(~arabic & (T.ascii_ratio(q) < 0.5) & (T.ascii_ratio(a) < 0.5), "ascii_ratio_low")
-        .when(~(T.contains_any(q, lexicon) | T.contains_any(a, lexicon)), "no_medical_term")
-        .otherwise("ok")
-    )
+
+    def first(q: Column, a: Column) -> Column:
+        nq, na = F.length(q), F.length(a)
+        out = (
+            F.when(~nq.between(L.MIN_QUESTION, L.MAX_QUESTION), F.concat(F.lit("q_len="), nq.cast("string")))
+            .when(~na.between(L.MIN_ANSWER, L.MAX_ANSWER), F.concat(F.lit("a_len="), na.cast("string")))
+            .when(a.rlike("(?iu)" + "|".join(L.REFUSALS)), "refusal_boilerplate")
+        )
+        if not any_opener:
+            out = out.when(~T.looks_like_question(q, openers), "not_a_question")
+        return (
+            out.when((na < L.THIN_ANSWER) & (T.sentence_count(a) < L.MIN_SENTENCES), "answer_too_thin")
+            .when(arabic & (T.arabic_ratio(q) < 0.5) & (T.arabic_ratio(a) < 0.5), "arabic_ratio_low")
+            .when(~arabic & (T.ascii_ratio(q) < 0.5) & (T.ascii_ratio(a) < 0.5), "ascii_ratio_low")
+            .when(~(T.contains_any(q, lexicon) | T.contains_any(a, lexicon)), "no_medical_term")
+            .otherwise("ok")
+        )
+
+    return T.let(T.strip(question), lambda q: T.let(T.strip(answer), lambda a: first(q, a)))
 
 
 def validate(pairs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    return pairs.withColumn("reason", reason(**options))
+    """pairs with `reason`. It is exploded from an array of one, so that filters on it don't work it out a second time."""
+    return pairs.withColumn("reason", F.explode(F.array(reason(**options))))
 
 
 def rejections(checked: DataFrame, by: str = "specialty") -> DataFrame:
@@ -64,7 +68,7 @@ def valid_translation(fr_q: str, fr_a: str, da_q: str, da_a: str) -> Column:
     """Four non-blank texts, and characters of the Arabic ranges at half the letters of the last two at least."""
     full = (T.strip(fr_q) != "") & (T.strip(fr_a) != "") & (T.strip(da_q) != "") & (T.strip(da_a) != "")
     both = F.concat(F.coalesce(F.col(da_q), F.lit("")), F.coalesce(F.col(da_a), F.lit("")))
-    share = F.try_divide(F.regexp_count(both, F.lit(T.ARABIC)), F.regexp_count(both, F.lit(r"\p{L}")))
+    share = T.let(both, lambda s: F.try_divide(T.kept(s, T.ARABIC), T.kept(s, r"\p{L}")))
     return full & F.coalesce(share >= 0.5, F.lit(False))
 
 

@@ -200,3 +200,37 @@ def test_made_pair_lengths(spark):
     rows = [("q" * 40, "a" * 80), ("q" * 39, "a" * 80), ("q" * 40, "a" * 79), (" " + "q" * 39 + " ", "a" * 80), (None, "a" * 80), ("", "")]
     df = spark.createDataFrame(rows, "question string, answer string")
     assert [r.ok for r in df.select(quality.valid_made("question", "answer").alias("ok")).collect()] == [True, False, False, False, False, False]
+
+
+def test_greedy_is_one_pass_over_batches(spark):
+    """Groups that span Arrow batches, null and empty texts, ties and a null group against a plain pass."""
+    rows = [(s, i, None if i % 11 == 0 else "" if i % 13 == 0 else " ".join(f"w{(i * 7 + j) % (9 + i % 5)}" for j in range(12))) for i in range(90) for s in ("a", "b", None)]
+    df = spark.createDataFrame([(s, k, t) for k, (s, _, t) in enumerate(rows)], "spec string, id long, q string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(r.id for r in dedup.greedy(df, "spec", "id", "q", memory=4).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    for g in ("a", "b", None):
+        last = []
+        for k, (s, _, t) in enumerate(rows):
+            if s == g:
+                w = (t or "").lower().split()
+                x = {" ".join(w[i : i + 8]) for i in range(max(len(w) - 7, 1))}
+                if not any(len(x & y) >= 0.9 * len(x | y) for y in last[-4:]):
+                    last.append(x)
+                    want.append(k)
+    assert got == sorted(want)
+    assert dedup.greedy(df.limit(0), "spec", "id", "q").count() == 0
+
+
+def test_letter_shares_and_terms(spark):
+    texts = ["aé1 Zß", "سلام abc ١٢", "", None, "12 ?!", "𝒜x", "Side Effect"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    r = df.select("id", T.ascii_ratio("t").alias("a"), T.arabic_ratio("t").alias("b"), T.contains_any("t", ["zß", "side effect", "a.c"]).alias("c"), T.groups_in("t", {"x": ["effect"], "y": ["سلام"]}).alias("g")).orderBy("id").collect()
+    assert [x.a for x in r] == [0.5, 3 / 7, 0, 0, 0, 0.5, 1]
+    assert [x.b for x in r] == [0, 4 / 7, 0, 0, 0, 0, 0]
+    assert [x.c for x in r] == [True, False, False, False, False, False, True]
+    assert [x.g for x in r] == [[], ["y"], [], [], [], [], ["x"]]

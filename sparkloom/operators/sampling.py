@@ -53,19 +53,20 @@ def ranked(df: DataFrame, seed: int, id_col: str, name: str = "rank") -> DataFra
     The draw's first three digits deal rows into 4096 even ranges; the ranges'
     counts, one number each, shift the places within them.
     """
-    x = df.withColumn("__draw", draw(seed, id_col)).withColumn("__range", F.substring("__draw", 1, 3))
+    # a null id has no draw and comes last: '~' is beyond all digits
+    x = df.withColumn("__draw", F.coalesce(draw(seed, id_col), F.lit("~"))).withColumn("__range", F.substring("__draw", 1, 3))
     before = x.groupBy("__range").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(W.partitionBy("__range").orderBy("__draw", id_col)) + F.col("__before")
     return x.join(F.broadcast(before), "__range").withColumn(name, place.cast("long")).drop("__range", "__before", "__draw")
 
 
-def three_way(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+def three_way(df: DataFrame, id_col: str, n: int, seed: int = 42, fixed: bool = True) -> DataFrame:
     """df with split: fixed sizes of 2,500 for test and validation and 15,000 for train from 20,000 rows on, else a tenth each and the rest.
 
-    n is the number of rows. Rows beyond the fixed sizes are dropped.
+    n is the number of rows. Rows beyond the fixed sizes are dropped. Unless fixed, all tables are split by tenths and no row is dropped.
     """
     ranks = ranked(df, seed, id_col)
-    if n >= 20_000:
+    if fixed and n >= 20_000:
         return ranks.withColumn("split", F.when(F.col("rank") <= 15_000, "train").when(F.col("rank") <= 17_500, "validation").otherwise("test")).where("rank <= 20000").drop("rank")
     k = max(1, n // 10)
     return ranks.withColumn("split", F.when(F.col("rank") <= k, "test").when(F.col("rank") <= 2 * k, "validation").otherwise("train")).drop("rank")
